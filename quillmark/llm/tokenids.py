@@ -20,10 +20,10 @@ where the tokenizer itself always cuts: between a visible character and a space.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,8 @@ from quillmark.session import written
 END_ID = 0
 FILE_IDS = 1 << 20
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 MAGIC = b"QEF1"
-#: A space that may not be cut at: the one before it is no visible ASCII character, letter or digit.
-UNSAFE = re.compile(r"(?:[^\x21-\x7e\w]|^) ")
 SAMPLE = 64
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -114,14 +112,18 @@ def unpack(file: bytes) -> tuple[EliasFano, np.ndarray]:
     return ef, np.frombuffer(file, f"<u{width}", offset=at + low + high)
 
 
+def _visible(c: str) -> bool:
+    return c.isalnum() or "!" <= c <= "~"
+
+
 def pieces(text: str) -> list[str]:
-    """The text cut before spaces, but only where no token can cross."""
+    """The text cut before spaces, but only after a visible ASCII character, letter or digit: no token crosses there."""
     parts = text.split(" ")
-    if not UNSAFE.search(text):
+    if all(map(_visible, {x[-1:] for x in parts[:-1]})):
         return [parts[0], *[" " + x for x in parts[1:]]]
     out = [parts[0]]
     for before, x in zip(parts, parts[1:], strict=False):
-        if before and (before[-1].isalnum() or "!" <= before[-1] <= "~"):
+        if _visible(before[-1:]):
             out.append(" " + x)
         else:
             out[-1] += " " + x
@@ -129,7 +131,19 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts as bytes; words seen before are remembered, others go to the tokenizer in one batch."""
+    """Ids of texts as bytes; words seen before are remembered, others go to the tokenizer in batches.
+
+    A full memory forgets the later half: frequent words were met early.
+    """
+
+    held: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """One encoder for all tasks that a worker runs."""
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -140,8 +154,8 @@ class Encoder:
         cut = [pieces(x) for x in texts]
         new = list({p for c in cut for p in c if p not in self.known})
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({p for c in cut for p in c})
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+            new = list({p for c in cut for p in c if p not in self.known})
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -166,7 +180,7 @@ def write_files(docs: DataFrame, path: str | None = None) -> DataFrame:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, file = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, file = Encoder.of(path), TaskContext.get().partitionId(), 0
         keys, ids, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
