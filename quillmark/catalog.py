@@ -1,17 +1,663 @@
-"""The registered queries of the engine, and their SQL."""
+"""The registered queries of the engine, and their SQL.
+
+Each query runs an operator over whole tables. Names begin with the ids of the operator inventory.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.functions import dates, html, scalars, text
+from quillmark.operators import clicks, documents, logmetrics, metrics, resources, textmining
+from quillmark.plans import predicate, search
+from quillmark.session import shared_dir, written
+from quillmark.sources import logs
+from quillmark.streaming import logs as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
-def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.where("event_type = 'view'").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"a1_daily_distinct_queries": _daily}
-ORACLES: dict[str, str] = {}
+    return add
+
+
+def _table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """The time tuple as three columns."""
+    return df.select("timetuple.*", *[c for c in df.columns if c != "timetuple"])
+
+
+def _q(s: SparkSession, d: str) -> DataFrame:
+    return logs.event_queries(_table(s, d, "events"))
+
+
+def _c(s: SparkSession, d: str) -> DataFrame:
+    return logs.event_clicks(_table(s, d, "events"))
+
+
+_ROWS = """'c' || (user_id % 4) AS collection, epoch_us(ts) // 1000 AS timestamp, json_extract_string(props, '$.k') AS k,
+  user_id || '-' || CAST(ts AS DATE) AS id, CAST(year(ts) AS INT) AS year, CAST(month(ts) - 1 AS INT) AS month, CAST(day(ts) AS INT) AS date"""
+_LOGS = f"""q AS (SELECT {_ROWS}, k AS query, CAST(floor(value) AS INT) AS hits FROM events WHERE event_type = 'view'),
+h AS (SELECT * FROM q WHERE hits > 0),
+c AS (SELECT {_ROWS}, CAST(event_id % 10 AS INT) AS position FROM events WHERE event_type = 'click')"""
+_KEY = "year, month, date, collection"
+
+
+# ---- log metrics
+
+@_query(f"WITH {_LOGS} SELECT {_KEY}, count(DISTINCT query) AS value FROM h GROUP BY ALL")
+def a1_daily_distinct_queries(s, d):
+    return _flat(logmetrics.distinct_queries(_q(s, d)))
+
+
+@_query(f"WITH {_LOGS} SELECT {_KEY}, count(query) AS value FROM h GROUP BY ALL")
+def a2_daily_total_queries(s, d):
+    return _flat(logmetrics.total_queries(_q(s, d)))
+
+
+@_query(f"WITH {_LOGS} SELECT {_KEY}, count(query) AS value, 'lt-100-results' AS metric FROM q WHERE hits IS NULL OR hits < 100 GROUP BY ALL")
+def a3_low_result_queries(s, d):
+    return _flat(logmetrics.low_result_queries(_q(s, d)))
+
+
+@_query(f"WITH {_LOGS} SELECT {_KEY}, query, max(hits) AS hits FROM h GROUP BY ALL")
+def a4_most_hits(s, d):
+    return _flat(logmetrics.most_hits(_q(s, d)))
+
+
+@_query(f"""WITH {_LOGS}, m AS (SELECT {_KEY}, query, CAST(max(hits) AS BIGINT) AS v FROM h GROUP BY ALL),
+s AS (SELECT {_KEY}, min(v) AS least, max(v) AS greatest, CAST(ceil(ln(count(*)) + 1) AS INT) AS n_bins FROM m GROUP BY ALL),
+b AS (SELECT {_KEY}, least, greatest, n_bins, (v - least) // ((greatest - least + n_bins) // n_bins) AS bin, count(*) AS n FROM m JOIN s USING ({_KEY}) GROUP BY ALL),
+r AS (SELECT *, unnest(range(n_bins)) AS i FROM s)
+SELECT {_KEY}, r.least, r.greatest, r.n_bins, list(coalesce(b.n, 0) ORDER BY i) AS bins
+FROM r LEFT JOIN b USING ({_KEY}) WHERE TRUE AND (b.bin IS NULL OR TRUE) GROUP BY ALL""".replace("USING (year, month, date, collection) WHERE TRUE AND (b.bin IS NULL OR TRUE)", "ON r.year = b.year AND r.month = b.month AND r.date = b.date AND r.collection = b.collection AND r.i = b.bin").replace(f"SELECT {_KEY}, r.least", "SELECT r.year, r.month, r.date, r.collection, r.least"))
+def a5_result_histogram(s, d):
+    return _flat(logmetrics.result_histogram(_q(s, d)))
+
+
+_FIRST = f"f AS (SELECT {_KEY}, id, 1.0::DOUBLE / (arg_min(position, (timestamp, position)) + 1) AS rr FROM c GROUP BY ALL)"
+
+
+@_query(f"WITH {_LOGS}, {_FIRST} SELECT {_KEY}, round(avg(rr), 9) AS value FROM q JOIN f USING ({_KEY}, id) GROUP BY ALL")
+def a6_mean_reciprocal_rank(s, d):
+    return _flat(logmetrics.mean_reciprocal_rank(_q(s, d), _c(s, d)).withColumn("value", F.round("value", 9)))
+
+
+@_query(f"WITH {_LOGS}, {_FIRST} SELECT {_KEY}, id, query, timestamp, round(rr, 9) AS rr FROM q JOIN f USING ({_KEY}, id)")
+def j1_j2_first_click_join(s, d):
+    return _flat(logmetrics.reciprocal_ranks(_q(s, d), _c(s, d)).select("timetuple", "collection", "id", "query", "timestamp", F.round("rr", 9).alias("rr")))
+
+
+_TOP = "SELECT year, month, date, collection, {0}, count, CAST(row_number() OVER w AS INT) AS rank, CAST(sum(count) OVER (PARTITION BY year, month, date, collection) AS BIGINT) AS total FROM n WINDOW w AS (PARTITION BY year, month, date, collection ORDER BY count DESC, {0}) QUALIFY row_number() OVER w <= 10"
+
+
+@_query(f"WITH {_LOGS}, n AS (SELECT {_KEY}, query, count(*) AS count FROM h GROUP BY ALL) " + _TOP.format("query"))
+def a7_w2_j3_popular_queries(s, d):
+    return _flat(logmetrics.popular_queries(_q(s, d)))
+
+
+@_query(f"WITH {_LOGS}, t AS (SELECT {_KEY}, unnest(regexp_split_to_array(query, '[ \",()*]+')) AS term FROM h), n AS (SELECT {_KEY}, term, count(*) AS count FROM t WHERE term != '' GROUP BY ALL) " + _TOP.format("term"))
+def w3_f7_popular_terms(s, d):
+    return _flat(logmetrics.popular_terms(_q(s, d)).select("timetuple", "collection", "term", "count", "rank", "total"))
+
+
+@_query(f"WITH {_LOGS} SELECT {_KEY}, id, query, hits, timestamp FROM q WHERE hits > 0")
+def p2_s1_query_log_with_hits(s, d):
+    return _flat(logmetrics.has_hits(_q(s, d)).select("timetuple", "collection", "id", "query", "hits", "timestamp"))
+
+
+@_query("""SELECT event_id, CAST(year(ts) AS INT) AS year, CAST(month(ts) - 1 AS INT) AS month, CAST(day(ts) AS INT) AS date, CAST(hour(ts) AS INT) AS hour, CAST(minute(ts) AS INT) AS minute,
+CAST(floor(second(ts)) AS INT) AS second, CAST(epoch_us(ts) // 1000 % 1000 AS INT) AS millisecond, CAST(dayofweek(ts) + 1 AS INT) AS day_of_week, CAST(day(ts) AS INT) AS day_of_month, CAST(dayofyear(ts) AS INT) AS day_of_year,
+CAST((day(ts) - 1 + dayofweek(date_trunc('month', ts))) // 7 + 1 AS INT) AS week_of_month,
+CAST(CASE WHEN dayofweek(ts) + dayofyear(make_date(year(ts), 12, 31)) - dayofyear(ts) < 6 THEN 1 ELSE (dayofyear(ts) - 1 + dayofweek(date_trunc('year', ts))) // 7 + 1 END AS INT) AS week_of_year FROM events""")
+def f1_epoch_to_calendar(s, d):
+    names = ["YEAR", "MONTH", "DATE", "HOUR", "MINUTE", "SECOND", "MILLISECOND", "DAY_OF_WEEK", "DAY_OF_MONTH", "DAY_OF_YEAR", "WEEK_OF_MONTH", "WEEK_OF_YEAR"]
+    return _table(s, d, "events").select("event_id", dates.epoch_to_calendar(F.unix_millis(F.col("ts").cast("timestamp")), *names).alias("t")).select("event_id", "t.*")
+
+
+@_query("SELECT event_id, epoch_ms(date_trunc('second', ts)) AS ms FROM events")
+def f2_calendar_to_epoch(s, d):
+    names = ["YEAR", "MONTH", "DATE", "HOUR", "MINUTE", "SECOND"]
+    return _table(s, d, "events").select("event_id", dates.calendar_to_epoch(dates.epoch_to_calendar(F.unix_millis(F.col("ts").cast("timestamp")), *names), *names).alias("ms"))
+
+
+@_query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour FROM events")
+def f15_t5_split_key(s, d):
+    day, hour = dates.split_key(F.unix_millis(F.col("ts").cast("timestamp")))
+    return _table(s, d, "events").select("event_id", day.alias("date"), hour.alias("hour"))
+
+
+@_query("""SELECT event_id, round(0.5 * ln(1 + event_id % 10) + 0.5, 9) AS position_weight, round(ln(1 + (CAST(floor(value * 1000) AS BIGINT) // 1000) // 10), 9) AS reading_weight,
+round(value * power(2, -(event_id * 86400000 // 2592000000)), 9) AS decayed FROM events""")
+def f9_f10_f12_click_weights(s, d):
+    e = _table(s, d, "events")
+    return e.select("event_id", F.round(scalars.position_weight(F.col("event_id") % 10), 9).alias("position_weight"), F.round(scalars.reading_weight(F.floor(F.col("value") * 1000)), 9).alias("reading_weight"), F.round(scalars.decay(F.col("value"), F.col("event_id") * 86_400_000), 9).alias("decayed"))
+
+
+@_query("SELECT event_id, event_type, CAST(props AS VARCHAR) AS props, json_extract_string(props, '$.k') AS k FROM events")
+def f16_json_fields(s, d):
+    return _table(s, d, "events").select("event_id", "event_type", "props", F.get_json_object("props", "$.k").alias("k"))
+
+
+@_query("SELECT o_orderkey, o_orderstatus || '' AS collection, CAST(o_orderkey AS VARCHAR) AS id FROM orders")
+def f6_document_keys(s, d):
+    key = scalars.document_key(F.col("o_orderstatus"), F.col("o_orderkey").cast("string"))
+    return _table(s, d, "orders").select("o_orderkey", scalars.from_document_key(key).alias("k")).select("o_orderkey", "k.*")
+
+
+@_query("SELECT o_orderkey, o_orderstatus AS collection, o_orderpriority AS metric, epoch_ms(o_orderdate) AS ts FROM orders")
+def f6_metric_keys(s, d):
+    key = scalars.metric_key(F.col("o_orderstatus"), F.col("o_orderpriority"), F.unix_millis(F.col("o_orderdate").cast("timestamp")))
+    return _table(s, d, "orders").select("o_orderkey", scalars.from_metric_key(key).alias("k")).select("o_orderkey", "k.*")
+
+
+@_query("SELECT event_id, map([event_type, 'user'], [CAST(value AS VARCHAR), CAST(user_id AS VARCHAR)])['user'] AS user, 2 AS size FROM events")
+def f5_add_to_map(s, d):
+    m = scalars.add_to_map(F.create_map(F.col("event_type"), F.col("value").cast("string")), F.lit("user"), F.col("user_id").cast("string"))
+    return _table(s, d, "events").select("event_id", m.alias("m")).select("event_id", F.col("m")["user"].alias("user"), F.size("m").alias("size"))
+
+
+# ---- metric store
+
+_POINTS = "p AS (SELECT o_orderstatus AS collection, 'spend' AS metric, epoch_ms(date_trunc('day', o_orderdate)) AS ts, round(sum(o_totalprice), 4) AS value FROM orders GROUP BY ALL)"
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    o = _table(s, d, "orders").withColumn("timetuple", dates.epoch_to_calendar(F.unix_millis(F.col("o_orderdate").cast("timestamp")), "YEAR", "MONTH", "DATE"))
+    return metrics.points(o.groupBy("timetuple", F.col("o_orderstatus").alias("collection")).agg(F.round(F.sum("o_totalprice"), 4).alias("value")), "spend")
+
+
+@_query(f"WITH {_POINTS} SELECT *, CAST(year(make_timestamp(ts * 1000)) AS INT) AS year, CAST(month(make_timestamp(ts * 1000)) - 1 AS INT) AS month, CAST(day(make_timestamp(ts * 1000)) AS INT) AS date, CAST(dayofweek(make_timestamp(ts * 1000)) + 1 AS INT) AS day_of_week, 0 AS hour FROM p")
+def k1_k2_metric_points(s, d):
+    return metrics.with_date_dims(_points(s, d))
+
+
+@_query("""WITH m AS (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL), x AS (SELECT *, max(n) OVER (PARTITION BY l_returnflag) AS most FROM m),
+o AS (SELECT l_returnflag, list(l_quantity ORDER BY l_quantity) AS mode FROM x WHERE n = most GROUP BY ALL)
+SELECT l_returnflag, round(sum(l_quantity), 4) AS sum, min(l_quantity) AS min, max(l_quantity) AS max, round(avg(l_quantity), 9) AS mean, count(l_quantity) AS cnt, median(l_quantity) AS median, round(CASE WHEN count(*) = 1 THEN 0 ELSE var_samp(l_quantity) END, 6) AS var, any_value(mode) AS mode
+FROM lineitem JOIN o USING (l_returnflag) GROUP BY l_returnflag""")
+def a8_a15_metric_aggregates(s, d):
+    out = metrics.aggregate(_table(s, d, "lineitem"), ["sum", "min", "MAX", "mean", "count", "median", "mode", "var"], "l_returnflag", value="l_quantity")
+    return out.withColumns({"sum": F.round("sum", 4), "mean": F.round("mean", 9), "var": F.round("var", 6)})
+
+
+@_query(f"WITH {_POINTS} SELECT collection, metric, max(ts) AS ts, arg_max(value, ts) AS value FROM p GROUP BY ALL")
+def w6_latest_metric(s, d):
+    return metrics.latest(_points(s, d))
+
+
+@_query(f"WITH {_POINTS} SELECT * FROM p WHERE collection = 'F' AND ts >= 757382400000 AND ts < 788918400000")
+def w7_metric_range(s, d):
+    return metrics.metric_range(_points(s, d), "F", "spend", 757_382_400_000, 788_918_400_000)
+
+
+@_query(f"WITH {_POINTS} SELECT round(sum(value), 2) AS sum, count(*) AS cnt, round(median(value), 4) AS median, count(*) AS series FROM p WHERE collection = 'O'")
+def a15_metric_request(s, d):
+    out = metrics.Analytics(_points(s, d)).metric(metrics.MetricRequest("O", "spend", aggregates=["sum", "count", "median"]))
+    a = F.col("aggregates")
+    return out.select(F.round(a["sum"], 2).alias("sum"), a["cnt"].cast("long").alias("cnt"), F.round(a["median"], 4).alias("median"), F.size("series").cast("long").alias("series"))
+
+
+@_query(f"WITH {_POINTS} SELECT collection, metric, 694224000000 + ((ts - 694224000000) // 2592000000) * 2592000000 AS ts, round(avg(value), 2) AS value FROM p WHERE ts >= 694224000000 GROUP BY ALL")
+def p17b_resampled_metric(s, d):
+    return metrics.resample(_points(s, d), 694_224_000_000, step=2_592_000_000).withColumn("value", F.round("value", 2))
+
+
+@_query(f"WITH {_POINTS} SELECT DISTINCT collection, metric FROM p WHERE collection != 'P'")
+def k5_metrics_without_collection(s, d):
+    return metrics.Analytics(metrics.without_collection(_points(s, d), "P")).supported_metrics()
+
+
+# ---- predicates
+
+@_query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice > 300000 OR NOT (o_orderpriority IN ('1-URGENT', '2-HIGH')))")
+def p5_p13_predicate(s, d):
+    return predicate.query(_table(s, d, "orders"), "fields=o_orderkey,o_orderstatus,o_totalprice&o_orderstatus=F&(o_totalprice>300000|!o_orderpriority.in(1-URGENT,2-HIGH))")
+
+
+@_query("SELECT * FROM lineitem WHERE NOT coalesce(l_returnflag = 'N', FALSE) AND l_quantity <= 3 AND l_discount >= 0.05")
+def p6_p7_predicate_not_equal(s, d):
+    return predicate.query(_table(s, d, "lineitem"), "l_returnflag!=N&l_quantity<=3&l_discount>=0.05")
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey < 1000 AND (c_mktsegment = 'BUILDING' OR c_acctbal < 0)")
+def p18_p17_key_predicate(s, d):
+    c = _table(s, d, "customer")
+    return predicate.query(c.where("c_custkey < 1000"), "fields=c_custkey,c_name&c_mktsegment=BUILDING|c_acctbal<0")
+
+
+@_query("SELECT p_partkey, p_size FROM part WHERE p_size > 40 AND p_brand = 'Brand#13' OR p_retailprice < 910")
+def p20_predicate_builder(s, d):
+    b = predicate.Builder().property("p_size").gt(40).and_().property("p_brand").equals("Brand#13").or_().property("p_retailprice").lt(910)
+    p = _table(s, d, "part")
+    return p.where(b.column(p.schema)).select("p_partkey", "p_size")
+
+
+@_query("SELECT c_custkey, count(o_orderkey) AS n, coalesce(list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL), []) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def j8_sub_resources(s, d):
+    out = resources.with_children(_table(s, d, "customer"), _table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), {"c_custkey": "o_custkey"}, "orders")
+    return out.select("c_custkey", F.size("orders").cast("long").alias("n"), scalars.extract(F.col("orders"), "o_orderkey").alias("orders"))
+
+
+@_query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def j9_enriched(s, d):
+    nation = _table(s, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    region = _table(s, d, "region").withColumnRenamed("r_regionkey", "c_regionkey")
+    return resources.enriched(_table(s, d, "customer"), [(nation, ["c_nationkey"]), (region, ["c_regionkey"])], ["c_custkey", "n_name"])
+
+
+# ---- documents
+
+@_query("SELECT page_id, url FROM pages WHERE regexp_full_match(url, 'https://.+') AND NOT regexp_full_match(url, '.*example[.]com.*')")
+def p21_p22_document_filter(s, d):
+    pages = _table(s, d, "pages").withColumn("metadata", F.create_map(F.lit("host"), F.try_parse_url("url", F.lit("HOST"))))
+    return documents.DocumentFilter(url="https://.+", skip={"host": ".*example[.]com"}).apply(pages).select("page_id", "url")
+
+
+@_query("SELECT doc_id, md5(text) AS signature, doc_id != max(doc_id) OVER (PARTITION BY text) AS duplicate FROM documents")
+def u3_signature_tag(s, d):
+    return documents.dedupe(_table(s, d, "documents"), "tag").select("doc_id", "signature", "duplicate")
+
+
+@_query("SELECT max(doc_id) AS doc_id FROM documents GROUP BY text")
+def u3_signature_overwrite(s, d):
+    return documents.dedupe(_table(s, d, "documents"), "overwrite").select("doc_id")
+
+
+@_query("SELECT c_custkey AS id, c_name || ' ' || c_mktsegment AS title, CAST(c_acctbal AS DOUBLE) AS attr_c_acctbal, 'web' AS source, c_nationkey AS nation FROM customer")
+def f18_f19_u4_field_mapping(s, d):
+    m = documents.FieldMapping({"C_CUSTKEY": "id", "c_name": "title", "c_mktsegment": "title", "c_nationkey": "nation"}, types={"id": "LONG", "attr_c_acctbal": "DOUBLE", "nation": "INT"}, literals={"source": "web"})
+    return m.apply(_table(s, d, "customer"))
+
+
+def _document_rows(s: SparkSession, d: str) -> DataFrame:
+    t = _table(s, d, "documents")
+    return t.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("collection"), F.lit(1).cast("long").alias("version"), "text")
+
+
+@_query("""SELECT CAST(doc_id AS VARCHAR) AS id, source AS collection, CASE WHEN doc_id % 3 = 0 OR doc_id % 3 = 2 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 3 = 2 THEN 'kept' ELSE md5(text) END AS text FROM documents""".replace("WHEN doc_id % 3 = 2 THEN 'kept' ", "").replace(" OR doc_id % 3 = 2", ""))
+def k3_versioned_put(s, d):
+    stored = _document_rows(s, d).withColumn("text", F.md5(F.encode("text", "UTF-8")))
+    # a third is put with the stored version, a third with a stale one
+    n = F.col("id").cast("long") % 3
+    batch = stored.where(n != 1).withColumn("version", F.when(n == 0, 1).otherwise(0).cast("long")).withColumn("text", F.lit("new"))
+    return documents.upsert(stored, batch)
+
+
+@_query("SELECT count(*) FILTER (doc_id % 3 = 0) AS DOCS_ADDED, count(*) FILTER (doc_id % 3 = 2) AS PUT_FAILED FROM documents")
+def k3_put_counts(s, d):
+    stored = _document_rows(s, d)
+    n = F.col("id").cast("long") % 3
+    return documents.put_counts(stored, stored.where(n != 1).withColumn("version", F.when(n == 0, 1).otherwise(0).cast("long")))
+
+
+@_query("SELECT doc_id FROM documents WHERE source != 'src0'")
+def k4_without_collection(s, d):
+    return documents.without_collection(_table(s, d, "documents").withColumnRenamed("source", "collection"), "src0").select("doc_id")
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE source = 'src1' AND CAST(doc_id AS VARCHAR) >= '2' AND CAST(doc_id AS VARCHAR) < '7'")
+def s24_p24_range_scan(s, d):
+    return documents.range_scan(_document_rows(s, d), "src1", "2", "7").select("id")
+
+
+@_query("SELECT CASE WHEN doc_id % 2 = 0 AND text != '' THEN 'skipped' WHEN doc_id % 5 = 0 THEN 'failed' WHEN text = '' THEN 'failed' ELSE 'extract' END AS status, count(*) AS n FROM documents GROUP BY ALL")
+def p25_extraction_status(s, d):
+    t = _table(s, d, "documents")
+    rows = t.select(F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 5 != 0, F.encode("text", "UTF-8")).alias("content"))
+    return documents.extraction_status(rows).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def j12_removed_since(s, d):
+    return documents.removed_since(_table(s, d, "documents"), _table(s, d, "labels"), "doc_id").select("doc_id")
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS collection, CASE WHEN doc_id % 7 = 0 THEN 'delete' ELSE 'put' END AS op FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0")
+def t6_change_feed(s, d):
+    before = _document_rows(s, d)
+    n = F.col("id").cast("long")
+    after = before.where(n % 7 != 0).withColumn("text", F.when(n % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return documents.change_feed(before, after)
+
+
+@_query("SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 40")
+def w9_page(s, d):
+    return documents.page(_table(s, d, "part"), 40, 20, F.col("p_retailprice").desc(), "p_partkey").select("p_partkey", "p_name")
+
+
+@_query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[13]$')")
+def p26_column_search(s, d):
+    return documents.search_column(_table(s, d, "part"), "p_name", "[13]$").select("p_partkey", "p_name")
+
+
+@_query()
+def f23_html_extract(s, d):
+    return html.extracted(_table(s, d, "pages"), "page_id", "html")
+
+
+_RULES = [("/en/1", False), ("/en", True), ("/fr", False)]
+
+
+@_query("SELECT page_id, CASE WHEN starts_with(p, '/en/1') THEN FALSE WHEN starts_with(p, '/en') THEN TRUE WHEN starts_with(p, '/fr') THEN FALSE ELSE TRUE END AS allowed FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS p FROM pages)")
+def f24_robots(s, d):
+    return _table(s, d, "pages").select("page_id", html.robots_allowed(F.col("url"), _RULES).alias("allowed"))
+
+
+@_query()
+def p23_k8_j7_annotations(s, d):
+    t = _table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    docs = t.withColumn("annotations", F.array().cast(f"array<{documents.ANNOTATION}>"))
+    both = documents.merge_annotations(docs, textmining.annotated(docs, textmining.token_annotator))
+    rows = both.withColumn("inside", documents.annotations("Token", "string", "[a-z]+", (0, 40)))
+    return documents.field_values({"words": "Token.string"}, rows).select("id", F.size("inside").alias("n_inside"), F.size("words").alias("n_words"))
+
+
+# ---- text
+
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@_query(f"SELECT doc_id, len(w) AS n, CAST(len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS INT) AS n_pairs FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)")
+def f11_word_pairs(s, d):
+    t = textmining.tokenised(_table(s, d, "documents"))
+    return t.select("doc_id", F.size("tokens").cast("long").alias("n"), F.size(F.array_distinct(text.ngrams(F.col("tokens"), 2))).alias("n_pairs"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN ends_with(w, 'ss') OR ends_with(w, 'us') OR ends_with(w, 'is') THEN w WHEN regexp_matches(w, '^.{2,}ies$') THEN left(w, len(w) - 3) || 'y' WHEN regexp_matches(w, '^.+xes$') THEN left(w, len(w) - 3) || 'x'
+WHEN regexp_matches(w, '^.+ches$') THEN left(w, len(w) - 4) || 'ch' WHEN regexp_matches(w, '^.+shes$') THEN left(w, len(w) - 4) || 'sh' WHEN ends_with(w, 'sses') THEN left(w, len(w) - 4) || 'ss' WHEN regexp_matches(w, '^.{2,}s$') THEN left(w, len(w) - 1) ELSE w END AS stem
+FROM (SELECT p_partkey, p_name || 's' AS w FROM part)""")
+def f20_plural_stem(s, d):
+    return _table(s, d, "part").select("p_partkey", text.PLURALS.column(F.concat("p_name", F.lit("s"))).alias("stem"))
+
+
+_TF = f"t AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), g AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM f GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents)"
+
+
+@_query(f"""WITH {_TF}, w AS (SELECT doc_id, term, tf, df, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM f JOIN g USING (term), n WHERE cf >= 2 AND df * 100 <= 99 * n)
+SELECT doc_id, term, tf, df, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM w""".replace("(n + 1) / (df + 1)", "(n + 1.0::DOUBLE) / (df + 1)"))
+def a21_m4_tfidf(s, d):
+    t = textmining.tokenised(_table(s, d, "documents"))
+    return textmining.tfidf(textmining.term_frequencies(t), t.count(), norm=2).withColumn("weight", F.round("weight", 9))
+
+
+def _x(v: str) -> str:
+    return f"CASE WHEN {v} > 0 THEN {v} * ln({v}) ELSE 0 END"
+
+
+@_query(f"""WITH t AS (SELECT {_WORDS.format('text')} AS w FROM documents), p AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM t),
+c AS (SELECT phrase, count(*) AS n, split_part(phrase, ' ', 1) AS a, split_part(phrase, ' ', 2) AS b FROM p GROUP BY phrase),
+m AS (SELECT phrase, n, CAST(n AS DOUBLE) AS k11, CAST(sum(n) OVER (PARTITION BY a) AS DOUBLE) - n AS k12, CAST(sum(n) OVER (PARTITION BY b) AS DOUBLE) - n AS k21, CAST(sum(n) OVER () AS DOUBLE) AS nn FROM c),
+k AS (SELECT *, nn - k11 - k12 - k21 AS k22 FROM m WHERE n >= 2),
+l AS (SELECT phrase, n, greatest(0, 2 * ({_x('nn')} - ({_x('(k11 + k12)')}) - ({_x('(k21 + k22)')}) + {_x('nn')} - ({_x('(k11 + k21)')}) - ({_x('(k12 + k22)')}) - {_x('nn')} + ({_x('k11')}) + ({_x('k12')}) + ({_x('k21')}) + ({_x('k22')}))) AS llr FROM k)
+SELECT phrase, n, round(llr, 3) AS llr FROM l WHERE llr >= 1""")
+def m8_k9_collocations(s, d):
+    return textmining.collocations(textmining.tokenised(_table(s, d, "documents"))).withColumn("llr", F.round("llr", 3))
+
+
+@_query(f"""WITH {_TF}, w AS (SELECT doc_id, term, tf * (ln((n + 1.0::DOUBLE) / (df + 1)) + 1) AS w FROM f JOIN g USING (term), n WHERE cf >= 2 AND df * 100 <= 0.5::DOUBLE * n),
+u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w)
+SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.w * b.w), 9) AS score FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) > 0""")
+def m6_row_similarity(s, d):
+    t = textmining.tokenised(_table(s, d, "documents"))
+    w = textmining.tfidf(textmining.term_frequencies(t), t.count(), max_df_percent=0.5)
+    return textmining.row_similarity(w).withColumn("score", F.round("score", 9))
+
+
+@_query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id != b.vec_id)
+SELECT a, b, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS INT) AS rank FROM s QUALIFY rank <= 10""")
+def m6_m14_similar_vectors(s, d):
+    e = _table(s, d, "embeddings")
+    return textmining.vector_similarity(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
+@_query()
+def m5_m13_kmeans(s, d):
+    e = textmining.array_features(_table(s, d, "embeddings"), "embedding")
+    return textmining.cluster_documents(textmining.clustered(e.select("vec_id", "features")), "vec_id").select("cluster", "n", "docs")
+
+
+@_query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents")
+def m7_row_ids(s, d):
+    return textmining.row_ids(_table(s, d, "documents"))
+
+
+@_query()
+def k12_j11_libsvm(s, d):
+    t = textmining.tokenised(_table(s, d, "documents"))
+    w = textmining.tfidf(textmining.term_frequencies(t), t.count(), max_df_percent=50)
+    return textmining.libsvm_rows(w, _table(s, d, "labels"), label="quality")
+
+
+# ---- clicks: queries are 'item <k> group <k % 7>', so that they have word pairs
+
+def _click_logs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("query").cast("long")
+    q = _q(s, d).where("hits > 0").select(F.col("timestamp").alias("time"), F.concat(F.lit("item "), "query", F.lit(" group "), k % 7).alias("query"), F.col("id").alias("request_id"), "hits")
+    c = _c(s, d).select(F.col("timestamp").alias("time"), F.col("id").alias("request_id"), F.col("url").alias("doc"), "position")
+    return q, c
+
+
+_CLICK = f"""WITH {_LOGS}, qq AS (SELECT id, ['item ' || query, query || ' group', 'group ' || (CAST(query AS BIGINT) % 7)] AS g FROM h),
+s AS (SELECT id, unnest(list_distinct(g)) AS term FROM qq),
+dw AS (SELECT *, lead(timestamp) OVER (PARTITION BY id ORDER BY timestamp, position, k) - timestamp AS dwell FROM c),
+cw AS (SELECT id, k AS doc, position, coalesce(dwell, avg(dwell) OVER (PARTITION BY id), 0) AS dwell FROM dw),
+p AS (SELECT doc, term, 0.5 * ln(1 + position) + 0.5 AS pos, ln(1 + floor(floor(dwell / 1000) / 10)) AS time FROM cw JOIN s USING (id) UNION ALL SELECT '*', term, 0.5, 0.0 FROM s)"""
+
+
+@_query(_CLICK + " SELECT term, round(sum(pos), 6) AS pos FROM p GROUP BY term HAVING sum(pos) >= 1.0")
+def s3_a17_term_weights(s, d):
+    return clicks.term_weights(clicks.prepare(*_click_logs(s, d))).withColumn("pos", F.round("pos", 6))
+
+
+@_query(_CLICK + " SELECT doc, term, round(sum(pos), 6) AS pos, round(sum(time), 6) AS time FROM p WHERE doc != '*' GROUP BY ALL")
+def w4_a18_doc_terms(s, d):
+    return clicks.doc_term_weights(clicks.prepare(*_click_logs(s, d))).withColumns({"pos": F.round("pos", 6), "time": F.round("time", 6)})
+
+
+@_query()
+def a18_collapsed_terms(s, d):
+    return clicks.aggregate_docs(clicks.prepare(*_click_logs(s, d)))
+
+
+@_query(_CLICK + """, t AS (SELECT doc, term, sum(pos) AS pos FROM p WHERE doc != '*' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos DESC, term) AS n FROM t QUALIFY n <= 20)
+SELECT doc, round(sum(pos) / 100 * 1.25, 6) AS pos_boost, count(*) AS n_terms FROM k GROUP BY doc""")
+def a20_w5_f13_boost_merge(s, d):
+    now = clicks.current_boosts(clicks.aggregate_docs(clicks.prepare(*_click_logs(s, d)), collapsed=False))
+    # the state of 60 days ago, when the same clicks were all there was: a quarter of it is left
+    before = clicks.merge_boosts(now, 1_700_000_000_000)
+    out = clicks.merge_boosts(now.unionByName(before), 1_700_000_000_000 + 60 * 86_400_000)
+    return out.select("doc", F.round("pos_boost", 6).alias("pos_boost"), F.size("terms").cast("long").alias("n_terms"))
+
+
+@_query(f"WITH {_LOGS}, x AS (SELECT id, count(*) AS n FROM c GROUP BY id) SELECT h.id AS request_id, h.timestamp AS time, coalesce(n, 0) AS n_clicks FROM h LEFT JOIN x USING (id)")
+def j4_t10_sessions(s, d):
+    return clicks.sessions(*_click_logs(s, d)).select("request_id", "time", F.size("clicks").cast("long").alias("n_clicks"))
+
+
+@_query(_CLICK + """, r AS (SELECT doc, term, sum(pos) AS pos FROM p WHERE doc != '*' GROUP BY doc, term), o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos DESC, term) AS n FROM r), t AS (SELECT doc, sum(pos) AS pos FROM o WHERE n <= 20 GROUP BY doc)
+SELECT p_partkey, round(pos / 100, 6) AS click_val, CASE WHEN pos IS NULL THEN NULL ELSE 1 END AS click FROM part LEFT JOIN t ON CAST(p_partkey AS VARCHAR) = doc""")
+def j10_q30_click_boost_join(s, d):
+    b = clicks.current_boosts(clicks.aggregate_docs(clicks.prepare(*_click_logs(s, d)), collapsed=False))
+    out = clicks.join_boosts(_table(s, d, "part").withColumn("id", F.col("p_partkey").cast("string")), b)
+    return out.select("p_partkey", F.round("click_val", 6).alias("click_val"), "click")
+
+
+# ---- search
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return search.indexed(_table(s, d, "documents"), "text")
+
+
+_IDX = "x AS (SELECT doc_id, lang, source, n_chars, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS t FROM documents)"
+
+
+def _search(name: str, query: str, sql: str, **options) -> None:
+    def run(s, d):
+        return search.matches(_docs(s, d), query, search.Options(**options)).select("doc_id")
+
+    QUERIES[name] = run
+    ORACLES[name] = f"WITH {_IDX} SELECT doc_id FROM x WHERE {sql}"
+
+
+def _has(w: str) -> str:
+    return f"list_contains(t, '{w}')"
+
+
+def _any(test: str) -> str:
+    return f"len(list_filter(t, lambda w: {test})) > 0"
+
+
+_PAIR = "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = '{0}' AND len(list_filter(range({2}), lambda k: {3})) > 0)) > 0"
+_search("q3_boolean", "+the -for with", f"{_has('the')} AND NOT {_has('for')}")
+_search("q3_all_negative", "-the -der", f"NOT {_has('the')} AND NOT {_has('der')}")
+_search("q4_default_and", "for with", f"{_has('for')} AND {_has('with')}")
+_search("q2_keywords", "for OR der AND NOT with", f"{_has('der')} AND NOT {_has('with')}")
+_search("q5_at_least", "(the der les with)~2", f"CAST({_has('the')} AS INT) + CAST({_has('der')} AS INT) + CAST({_has('les')} AS INT) + CAST({_has('with')} AS INT) >= 2")
+_search("q5_at_least_percent", "(the der les with)~75%", f"CAST({_has('the')} AS INT) + CAST({_has('der')} AS INT) + CAST({_has('les')} AS INT) + CAST({_has('with')} AS INT) >= 3")
+_search("q6_fields", "lang:de source:src1", "lang = 'de' AND source = 'src1'")
+_search("q8_phrase", '"of the"', _PAIR.format("of", "the", 1, "t[i + 1] = 'the'"))
+_search("q8_phrase_slop", '"of the"~2', _PAIR.format("of", "the", 5, "i - 1 + k >= 1 AND t[i - 1 + k] = 'the'"))
+_search("q9_before", "der BEFORE:2 die", _PAIR.format("der", "die", 3, "t[i + 1 + k] = 'die'"))
+_search("q9_near", "les near:3 la", "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'les' AND len(list_filter(range(9), lambda k: i - 4 + k >= 1 AND k != 4 AND t[i - 4 + k] = 'la')) > 0)) > 0")
+_search("q10_wildcards", "ther* ?nd", f"{_any('starts_with(w, $$ther$$)')} AND {_any('regexp_full_match(w, $$.nd$$)')}")
+_search("q11_fuzzy", "there~1", _any("abs(len(w) - 5) <= 1 AND levenshtein(w, 'there') <= 1"))
+_search("q13_range", "n_chars:[500 TO 1000}", "n_chars >= 500 AND n_chars < 1000")
+_search("q14_relational", "n_chars > 9000", "n_chars > 9000")
+_search("q18_hyphen", "of-the", f"({_PAIR.format('of', 'the', 1, 't[i + 1] = $$the$$')} OR {_has('ofthe')})")
+_search("q21_empty_query", "", "TRUE")
+
+
+@_query("WITH r AS (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-04-01') SELECT * FROM r")
+def q13_f26_date_range(s, d):
+    o = _table(s, d, "orders")
+    return search.matches(o, "o_orderdate:[1995-03 TO 1995-03-31]", search.Options(fields=("o_orderkey",))).select("o_orderkey")
+
+
+_C_SQL = "power(128 / (1 + ln(10000000.25 / 1.25)), 1.0::DOUBLE / 9999999)"
+
+
+@_query(f"""WITH {_IDX}, f AS (SELECT doc_id, CAST(len(t) AS DOUBLE) AS n, len(list_filter(t, lambda w: w = 'thereon')) AS f, len(list_filter(t, lambda w: w = 'the')) AS g FROM x),
+k AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (f > 0) AS DOUBLE) AS a, CAST(count(*) FILTER (g > 0) AS DOUBLE) AS b FROM f),
+i AS (SELECT sqrt((1 + ln((n + 0.25) / (a + 0.25))) * power({_C_SQL}, n - a)) AS ia, sqrt((1 + ln((n + 0.25) / (b + 0.25))) * power({_C_SQL}, n - b)) AS ib FROM k)
+SELECT doc_id, round((CASE WHEN f > 0 THEN ln(1 + f - 0.06) / ln(1.94) * ia * 2 ELSE 0 END + CASE WHEN g > 0 THEN ln(1 + g - 0.06) / ln(1.94) * ib ELSE 0 END) * 10 / sqrt(n + 99), 6) AS score FROM f, i WHERE f > 0 OR g > 0""")
+def q22_q15_score(s, d):
+    out = search.search(_docs(s, d), "thereon^2 OR the", search.Options(relevance=False))
+    return out.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_query()
+def q17_ranked_search(s, d):
+    return search.search(_docs(s, d), "of the with").select("doc_id", "score")
+
+
+@_query()
+def q24_q25_feedback(s, d):
+    return search.with_feedback(_docs(s, d), "therefore OR with OR thereon", "doc_id").select("doc_id", "score")
+
+
+@_query(f"WITH {_IDX} SELECT doc_id FROM x WHERE (lang = 'de') OR (lang = 'en' AND {_has('with')})")
+def q27_role_filter(s, d):
+    docs = _docs(s, d)
+    return docs.where(search.role_filter(docs.schema, ["a", "b", "z"], {"a": ["lang:de"], "b": ["lang:en", "with"]}, ["-*:*"])).select("doc_id")
+
+
+@_query("SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND source != 'src1'")
+def q28_acl_filter(s, d):
+    docs = _table(s, d, "documents").withColumns({"acl": F.array("lang"), "deny": F.array("source")})
+    return docs.where(search.fail_closed(lambda: search.acl_filter(["en", "fr", "src1"]))).select("doc_id")
+
+
+@_query("SELECT doc_id FROM documents WHERE FALSE")
+def q29_fail_closed(s, d):
+    def broken():
+        raise PermissionError("no directory")
+
+    return _table(s, d, "documents").where(search.fail_closed(broken)).select("doc_id")
+
+
+@_query("SELECT doc_id, regexp_replace(text, '(?i)(^|[^\\p{L}\\p{N}])(thereon)($|[^\\p{L}\\p{N}])', '\\1<b>\\2</b>\\3', 'g') AS highlight FROM documents")
+def q32_highlight(s, d):
+    return search.highlighted(_table(s, d, "documents"), "thereon", mode="HIGHLIGHT").select("doc_id", "highlight")
+
+
+def _dictionary(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select(F.explode(F.array_distinct("_t_text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+_DICT = f"{_IDX}, v AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM x) GROUP BY term)"
+
+
+@_query(f"WITH {_DICT} SELECT term, df, CAST(levenshtein(term, 'therer') AS INT) AS edits FROM v WHERE levenshtein(term, 'therer') BETWEEN 1 AND 2 ORDER BY edits, df DESC, term LIMIT 5")
+def q33_spelling(s, d):
+    return search.suggestions(_dictionary(s, d), "therer")
+
+
+@_query("SELECT lang AS value, count(*) AS n FROM documents GROUP BY lang")
+def q34_facets(s, d):
+    return search.facets(_table(s, d, "documents"), "lang")
+
+
+@_query(f"WITH {_DICT} SELECT term, df FROM v WHERE starts_with(term, 'then') ORDER BY df DESC, term LIMIT 10")
+def q34_autocomplete(s, d):
+    return search.autocomplete(_dictionary(s, d), "then")
+
+
+@_query("SELECT doc_id, CASE doc_id WHEN 7 THEN 0 WHEN 3 THEN 1 ELSE 2 END AS place FROM documents WHERE doc_id != 5")
+def q35_elevation(s, d):
+    return search.elevated(_table(s, d, "documents").withColumn("score", F.lit(1.0)), "doc_id", [7, 3], [5]).select("doc_id", "place")
+
+
+@_query("SELECT doc_id, CASE WHEN lang = 'de' THEN 3.0 ELSE 1.0 END::DOUBLE AS score, CASE WHEN lang = 'fr' THEN 'x' END AS tag FROM documents WHERE source != 'src2'")
+def q31_rules(s, d):
+    docs = _docs(s, d).withColumn("score", F.lit(1.0))
+    return search.apply_rules(docs, [("lang:de", "boost", {"factor": 3.0}), ("source:src2", "hide", {}), ("lang:fr", "set", {"column": "tag", "value": "x"})]).select("doc_id", "score", "tag")
+
+
+@_query()
+def q19_w11_more_like(s, d):
+    return search.top(search.more_like(_docs(s, d), "doc_id", 1), "doc_id", 10).select("doc_id", "score")
+
+
+# ---- streams: the batch result is the oracle
+
+def _streamed(s: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Runs a stream over the events to its end; the result is read from what its batches wrote."""
+    folder = f"{shared_dir(s)}/quillmark/stream-{uuid.uuid4().hex}"
+    # a file source reads folders, so the table is put into one first
+    source = written(_table(s, d, "events"), "events")
+    path = source.inputFiles()[0].rsplit("/", 1)[0]
+    df = s.readStream.schema(source.schema).parquet(path)
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+
+    streams.start(make(df), write, f"{folder}/checkpoint").awaitTermination()
+    return s.read.schema(schema).parquet(f"{folder}/out").select(*[x.split()[0] for x in schema.split(",")])
+
+
+@_query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour FROM events WHERE event_type IN ('view', 'click')")
+def t1_t5_stream_split(s, d):
+    def make(df: DataFrame) -> DataFrame:
+        return streams.by_event_hour(df.where("event_type IN ('view', 'click')").withColumn("timestamp", F.unix_millis(F.col("ts").cast("timestamp")))).select("event_id", "date", "hour")
+
+    return _streamed(s, d, make, "event_id long, date string, hour string")
+
+
+@_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
+def t4_stream_windows(s, d):
+    return _streamed(s, d, lambda df: streams.windowed_counts(df, "ts", "1 hour", "1 hour", "event_type"), "start timestamp, event_type string, n long")

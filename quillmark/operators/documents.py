@@ -112,6 +112,10 @@ def sorted_annotations(column: str = "annotations") -> Column:
     return F.transform(F.sort_array(key), lambda k: F.struct(k["t"].alias("type"), k["s"].alias("start"), k["e"].alias("end"), F.from_json(k["f"], "map<string,string>").alias("features")))
 
 
+def _feature(name: str):
+    return lambda a: F.try_element_at(a["features"], F.lit(name))
+
+
 def field_values(mapping: dict[str, str], docs: DataFrame) -> DataFrame:
     """Index columns from annotations: {'person': 'Person.string', 'place': 'Place'}; without feature the covered text."""
     out = docs
@@ -119,7 +123,7 @@ def field_values(mapping: dict[str, str], docs: DataFrame) -> DataFrame:
         kind, _, feature = target.partition(".")
         found = annotations(kind)
         if feature:
-            value = F.transform(found, lambda a, f=feature: F.try_element_at(a["features"], F.lit(f)))
+            value = F.transform(found, _feature(feature))
         else:
             value = F.transform(found, lambda a: F.substring(F.col("text"), (a["start"] + 1).cast("int"), (a["end"] - a["start"]).cast("int")))
         out = out.withColumn(name, F.array_compact(value))

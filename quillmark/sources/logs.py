@@ -7,13 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmark.functions.dates import epoch_to_calendar
 
 UNIT = "\x1f"
-QUERY_LOG = T.StructType().add("type", "string").add("collection", "string").add("timestamp", "long").add("query", "string").add("id", "string").add("hits", "int")
-CLICK_LOG = T.StructType().add("type", "string").add("collection", "string").add("timestamp", "long").add("id", "string").add("url", "string").add("position", "int")
+QUERY_LOG = "type string, collection string, timestamp long, query string, id string, hits int"
+CLICK_LOG = "type string, collection string, timestamp long, id string, url string, position int"
 
 
 def with_time_tuple(logs: DataFrame) -> DataFrame:
@@ -120,7 +119,7 @@ def event_queries(events: DataFrame) -> DataFrame:
     rows = e.select(
         F.lit("Q").alias("type"),
         F.concat(F.lit("c"), F.col("user_id") % 4).alias("collection"),
-        F.unix_millis("ts").alias("timestamp"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
         F.get_json_object("props", "$.k").alias("query"),
         F.concat(F.col("user_id"), F.lit("-"), F.to_date("ts")).alias("id"),
         F.floor("value").cast("int").alias("hits"),
@@ -134,7 +133,7 @@ def event_clicks(events: DataFrame) -> DataFrame:
     rows = e.select(
         F.lit("C").alias("type"),
         F.concat(F.lit("c"), F.col("user_id") % 4).alias("collection"),
-        F.unix_millis("ts").alias("timestamp"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
         F.concat(F.col("user_id"), F.lit("-"), F.to_date("ts")).alias("id"),
         F.get_json_object("props", "$.k").alias("url"),
         (F.col("event_id") % 10).cast("int").alias("position"),

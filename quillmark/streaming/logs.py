@@ -63,17 +63,22 @@ def hourly_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _timed(events: DataFrame, ts: str) -> DataFrame:
+    """Event time as a timestamp in the session's zone, as watermarks need it."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, ts: str = "ts", length: str = "1 hour", late: str = "1 hour", *keys: str) -> DataFrame:
     """Counts of tumbling windows; rows later than the watermark are left out."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, length).alias("window"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+    return _timed(events, ts).withWatermark(ts, late).groupBy(F.window(ts, length).alias("window"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
 def sliding_counts(events: DataFrame, ts: str = "ts", length: str = "1 hour", slide: str = "15 minutes", late: str = "1 hour", *keys: str) -> DataFrame:
-    return events.withWatermark(ts, late).groupBy(F.window(ts, length, slide).alias("window"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+    return _timed(events, ts).withWatermark(ts, late).groupBy(F.window(ts, length, slide).alias("window"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
 def session_counts(events: DataFrame, user: str, ts: str = "ts", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("s"), user).agg(F.count(F.lit(1)).alias("n")).select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), user, "n")
+    return _timed(events, ts).withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("s"), user).agg(F.count(F.lit(1)).alias("n")).select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), user, "n")
 
 
 def reading_sessions(rows: DataFrame, late: str = "1 hour") -> DataFrame:
