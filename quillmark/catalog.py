@@ -212,9 +212,9 @@ def a15_metric_request(s, d):
     return out.select(F.round(a["sum"], 2).alias("sum"), a["cnt"].cast("long").alias("cnt"), F.round(a["median"], 4).alias("median"), F.size("series").cast("long").alias("series"))
 
 
-@_query(f"WITH {_POINTS} SELECT collection, metric, 694224000000 + ((ts - 694224000000) // 2592000000) * 2592000000 AS ts, round(avg(value), 2) AS value FROM p WHERE ts >= 694224000000 GROUP BY ALL")
+@_query(f"WITH {_POINTS} SELECT collection, metric, 694224000000 + ((ts - 694224000000) // 2592000000) * 2592000000 AS ts, round(avg(value), 6) AS value FROM p WHERE ts >= 694224000000 GROUP BY ALL")
 def p17b_resampled_metric(s, d):
-    return metrics.resample(_points(s, d), 694_224_000_000, step=2_592_000_000).withColumn("value", F.round("value", 2))
+    return metrics.resample(_points(s, d), 694_224_000_000, step=2_592_000_000).withColumn("value", F.round("value", 6))
 
 
 @_query(f"WITH {_POINTS} SELECT DISTINCT collection, metric FROM p WHERE collection != 'P'")
@@ -526,7 +526,7 @@ _PAIR = "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = '{0}' AND len(li
 _search("q3_boolean", "+the -for with", f"{_has('the')} AND NOT {_has('for')}")
 _search("q3_all_negative", "-the -der", f"NOT {_has('the')} AND NOT {_has('der')}")
 _search("q4_default_and", "for with", f"{_has('for')} AND {_has('with')}")
-_search("q2_keywords", "for OR der AND NOT with", f"{_has('der')} AND NOT {_has('with')}")
+_search("q2_keywords", "for OR der AND NOT with", f"({_has('for')} OR {_has('der')}) AND NOT {_has('with')}")
 _search("q5_at_least", "(the der les with)~2", f"CAST({_has('the')} AS INT) + CAST({_has('der')} AS INT) + CAST({_has('les')} AS INT) + CAST({_has('with')} AS INT) >= 2")
 _search("q5_at_least_percent", "(the der les with)~75%", f"CAST({_has('the')} AS INT) + CAST({_has('der')} AS INT) + CAST({_has('les')} AS INT) + CAST({_has('with')} AS INT) >= 3")
 _search("q6_fields", "lang:de source:src1", "lang = 'de' AND source = 'src1'")
@@ -658,6 +658,6 @@ def t1_t5_stream_split(s, d):
     return _streamed(s, d, make, "event_id long, date string, hour string")
 
 
-@_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
+@_query("WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
 def t4_stream_windows(s, d):
     return _streamed(s, d, lambda df: streams.windowed_counts(df, "ts", "1 hour", "1 hour", "event_type"), "start timestamp, event_type string, n long")

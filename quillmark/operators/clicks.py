@@ -122,7 +122,7 @@ def merge_boosts(records: DataFrame, update_time: int, history: int = HISTORY, h
     Current boosts and term weights are summed, the heaviest max_terms terms stay; history is shifted, its oldest
     slot folded into the next, and decayed values are added. Without current records the previous terms stay.
     """
-    previous = records.where(F.size("pos_log") > 0).groupBy("doc").agg(F.max_by(F.struct("terms", "pos_log", "time_log", "times"), F.element_at("times", 1)).alias("p")).select("doc", F.col("p.terms").alias("old_terms"), "p.pos_log", "p.time_log", "p.times")
+    previous = records.where(F.size("pos_log") > 0).groupBy("doc").agg(F.max_by(F.struct("terms", "pos_log", "time_log", "times"), F.try_element_at("times", F.lit(1))).alias("p")).select("doc", F.col("p.terms").alias("old_terms"), "p.pos_log", "p.time_log", "p.times")
     fresh = records.where(F.size("pos_log") == 0)
     sums = fresh.groupBy("doc").agg(F.sum("pos_boost").alias("pos_boost"), F.sum("time_boost").alias("time_boost"))
     terms = fresh.select("doc", F.explode("terms").alias("t")).groupBy("doc", "t.term").agg(F.sum("t.pos").alias("pos"), F.sum("t.time").alias("time"))
