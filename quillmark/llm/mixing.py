@@ -49,9 +49,10 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
         .withColumn("left", F.col("total") - F.coalesce(F.sum("full").over(order), F.lit(0.0)))
         .withColumn("heavy", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
         .withColumn("level", F.col("left") / F.col("heavy"))
-        .withColumn("level", F.min(F.when(F.col("full") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything))
+        # it rises while sources stop below it and falls afterwards, so the greatest is the one that holds
+        .withColumn("level", F.max("level").over(everything))
     )
-    target = F.when(F.col("source_size") > 0, F.least("full", F.coalesce(F.col("level") * F.col("weight"), F.col("full")))).otherwise(F.lit(0.0))
+    target = F.when(F.col("source_size") > 0, F.least(F.col("full"), F.col("level") * F.col("weight"))).otherwise(F.lit(0.0))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     return rows.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
 

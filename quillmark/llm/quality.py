@@ -154,4 +154,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The kept documents, with all their columns."""
     cutoffs = certified_cutoffs(measured(docs), labels)
-    return features(docs).where(verdict(cutoffs)).select(*docs.columns)
+    # a filter on a row number is not pushed below the counts; pushed there, their expressions would be copied into it again and again
+    counted = features(docs).withColumn(P + "row", F.monotonically_increasing_id())
+    return counted.where((F.col(P + "row") >= 0) & verdict(cutoffs)).select(*docs.columns)

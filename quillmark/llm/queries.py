@@ -60,9 +60,9 @@ w AS (
 l AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(full_size) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
   FROM w WINDOW o AS (ORDER BY full_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-m AS (SELECT *, min(CASE WHEN full_size >= level * weight THEN level END) OVER () AS final FROM l),
+m AS (SELECT *, max(level) OVER () AS final FROM l),
 r AS (
-  SELECT source, source_size, CASE WHEN source_size > 0 THEN least(full_size, coalesce(final * weight, full_size)) ELSE 0 END AS target FROM m),
+  SELECT source, source_size, CASE WHEN source_size > 0 THEN least(full_size, final * weight) ELSE 0 END AS target FROM m),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0 END AS rate FROM r),
 c AS (
   SELECT d.doc_id, d.size, q.source_size, q.target, d.source,
