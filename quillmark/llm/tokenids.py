@@ -27,6 +27,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,11 @@ FILE_IDS = 1 << 20
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 1_000_000
 MAGIC = b"QEF1"
+#: New words that the tokenizer gets as one text.
+CHAIN = 256
 SAMPLE = 64
+#: A space where `pieces` does not cut: at the beginning, or after what is no visible ASCII character, letter or digit.
+UNEVEN = r"^ |[^!-~\pL\pN] "
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -133,7 +138,8 @@ def pieces(text: str) -> list[str]:
 class Encoder:
     """Ids of texts as bytes; words seen before are remembered, others go to the tokenizer in batches.
 
-    A full memory forgets the later half: frequent words were met early.
+    Texts that can be cut before every space are split and coded as columns, so that only
+    distinct words are looked up one by one. A full memory forgets the later half: frequent words were met early.
     """
 
     held: dict[str, Encoder] = {}
@@ -149,19 +155,72 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # a byte-level token has a character for each byte
+        names = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(names.values()) + 1, np.int64)
+        self.sizes[list(names.values())] = [len(x) for x in names]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pieces. Those that begin with a space and end in a visible character are
+        encoded one after the other as one text, as no token crosses from one to the next, and told
+        apart by the bytes of their tokens; where these don't meet the pieces' ends, and for other pieces, each is a text.
+        """
+        fit = [p[:1] == " " and _visible(p[-1]) for p in new]
+        lone, chained = [p for p, f in zip(new, fit, strict=True) if not f], [p for p, f in zip(new, fit, strict=True) if f]
+        blocks = [chained[i : i + CHAIN] for i in range(0, len(chained), CHAIN)]
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast(["".join(b) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in block])
+            stops = np.searchsorted(ends, wanted)
+            if stops[-1] != ids.size - 1 or (ends[stops] != wanted).any():
+                lone += block
+                continue
+            raw, at = ids.tobytes(), 0
+            for p, stop in zip(block, (4 * (stops + 1)).tolist(), strict=True):
+                self.known[p] = raw[at:stop]
+                at = stop
+        for i in range(0, len(lone), 4096):
+            part = lone[i : i + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[p] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
-        cut = [pieces(x) for x in texts]
-        new = list({p for c in cut for p in c if p not in self.known})
+    def _ids(self, distinct: list[str]) -> list[bytes]:
+        """Ids of pieces."""
+        new = [p for p in distinct if p not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-            new = list({p for c in cut for p in c if p not in self.known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        end = struct.pack("<I", end_id)
-        return [b"".join(map(self.known.__getitem__, c)) + end for c in cut]
+            new = [p for p in distinct if p not in self.known]
+        self._learn(new)
+        return [self.known[p] for p in distinct]
+
+    def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
+        column, end = pa.array(texts, pa.string()), struct.pack("<I", end_id)
+        uneven = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False)
+        out = [b""] * len(texts)
+        for i in np.flatnonzero(uneven):
+            cut = pieces(texts[i])
+            distinct = list(dict.fromkeys(cut))
+            of = dict(zip(distinct, self._ids(distinct), strict=True))
+            out[i] = b"".join(map(of.__getitem__, cut)) + end
+        even = np.flatnonzero(~uneven)
+        if not even.size:
+            return out
+        parts = pc.split_pattern(column.take(pa.array(even)), " ")
+        coded, at = parts.flatten().dictionary_encode(), parts.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        # the first word of a text has no space in front of it: these are coded after the others
+        firsts, place = np.unique(codes[at[:-1]], return_inverse=True)
+        codes[at[:-1]] = len(words) + place
+        table = self._ids([" " + w for w in words] + [words[k] for k in firsts])
+        flat, sizes = np.frombuffer(b"".join(table), "<u4"), np.array([len(x) // 4 for x in table], np.int64)
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n) + np.arange(ends[-1])]
+        bounds = np.concatenate(([0], ends))[at]
+        for i, s, e in zip(even, bounds[:-1], bounds[1:], strict=True):
+            out[i] = ids[s:e].tobytes() + end
+        return out
 
 
 def tokenizer_path() -> str:

@@ -32,6 +32,8 @@ def test_pieces_encode_as_the_whole_text():
     rng = random.Random(3)
     alphabet = ["a", "bc", "É", "1", "23", " ", "  ", "\n", "\t", " ", "'s", "'", ".", ",", "!!", "日本", " ", "_", "\x1c", "́", "🙂", "<|endoftext|>"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += [" ".join("".join(rng.choice(alphabet[:5] + ["É", ".", "日本", "<|endoftext|>", "\n"]) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    texts += ["", " ", "a ", " a", "a\n b", "word " * 5000]
     for x, got in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == [*whole.encode(x, add_special_tokens=False).ids, 0], repr(x)
 
