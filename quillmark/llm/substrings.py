@@ -133,7 +133,8 @@ def report(docs: DataFrame) -> DataFrame:
     wanted = wanted.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("v")) - 1)
     searched = written(docs.join(wanted, ["doc_id", "v"]), "searched")
     windows = searched.select("doc_id", "text", "shared", "nth").mapInArrow(_windows, _WINDOW_SCHEMA)
-    least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")
+    # written, so that the join below shuffles both its sides anew and adaptive execution can split the hot keys; an aggregate right below a join forbids that
+    least = written(windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low"), "least")
     hits = windows.join(least, ["h", "g"]).where("doc_id > low").select("doc_id", "at")
     cut = searched.select("doc_id", "nth", "v", "text").join(intervals(hits), ["doc_id", "nth"]).mapInArrow(_remove, "doc_id long, v binary, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "v"])
     nothing = F.sha2(F.lit("").cast("binary"), 256)
