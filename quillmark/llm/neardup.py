@@ -7,11 +7,13 @@
 2. Signatures. ROWS * BANDS consistent weighted samples (Ioffe's improved
    scheme) of tf * idf: two documents share a sample with the probability of
    their weighted Jaccard similarity.
-3. Candidates from an LSH forest over bands. In a bucket of up to SMALL texts all
-   pairs are candidates. In a larger one every text is paired with the bucket's
-   centre (the text whose bands are shared most), and the texts are told apart by a further
-   band, up to DEPTH times. So a text gets at most SMALL + DEPTH partners
-   a band, and a group of any size costs in proportion to its size.
+3. Candidates are all pairs of texts that share a band, however many texts share it. In
+   a bucket of up to SMALL texts they are listed. Larger buckets are compared as a
+   grid: their texts are dealt by hash into blocks of about BLOCK texts, and every
+   block is held against every block, so no task holds more than two blocks. Larger buckets
+   that hang together are one grid if that costs less than a grid each. A
+   grid gives no list of links, which grows with the square of a group, but
+   each text's number of links and a forest that spans them.
 4. Verification. Both whole texts' weighted shingle sets give the weighted
    Jaccard similarity; with all weights alike it is the plain one. A pair is a link
    if either is at least SIMILARITY: rare edits must not hide a copy of a text that
@@ -44,7 +46,9 @@ from quillmark.llm.textkit import U, mix, shingles
 from quillmark.session import written
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS, SMALL, DEPTH = 16, 3, 32, 4
+BANDS, ROWS, SMALL = 16, 3, 32
+#: Texts and characters of a block of a grid, about, and shingles that a block is compared by at a time.
+BLOCK, BLOCK_CHARS, COLUMNS = 512, 1 << 24, 4096
 COMMON = 0.05
 SKETCH_ROWS, SKETCH_BITS = 2, 17
 _K = BANDS * ROWS
@@ -199,38 +203,36 @@ def _pairs(buckets: DataFrame) -> DataFrame:
     ).select("p.a", "p.b")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct candidate pairs a < b of text keys; texts has v and sig, one row per text."""
-    keyed = texts.select("v", F.explode(F.array(*[F.xxhash64(F.lit(i), _band(i)) for i in range(BANDS)])).alias("key"))
+def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs a < b of text keys that share a bucket of at most SMALL and no larger one; (v, band, key, n) of the larger buckets, or None.
+
+    texts has v and sig, one row per text.
+    """
+    keyed = texts.select("v", F.posexplode(F.array(*[F.xxhash64(F.lit(i), _band(i)) for i in range(BANDS)])).alias("band", "key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(keyed.join(sizes, "key"), "buckets")
-    found = _pairs(members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("vs")))
+    members = written(keyed.join(sizes, "key").select("v", "band", "key", "n"), "buckets")
+    found = _pairs(members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("vs"))).distinct()
     large = members.where(F.col("n") > SMALL)
     if not large.take(1):
-        return written(found.distinct(), "pairs")
-    centrality = members.groupBy("v").agg(F.sum("n").alias("shared"))
-    firsts = [F.struct(F.xxhash64(F.lit(i), _band(i)).alias("key"), F.lit(i).alias("band")) for i in range(BANDS)]
-    level = large.select("v", "key").join(centrality, "v").join(texts, "v").withColumn("band", F.element_at(F.filter(F.array(*firsts), lambda x: x["key"] == F.col("key")), 1)["band"])
-    level = written(level, "level")
-    for depth in range(1, DEPTH + 1):
-        centres = level.groupBy("key").agg(F.max(F.struct("shared", "v")).alias("top")).select("key", F.col("top.v").alias("b"))
-        found = found.union(level.select("key", F.col("v").alias("a")).join(centres, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        if depth == DEPTH:
-            break
-        start = (4 * ROWS * ((F.col("band") + depth) % BANDS) + 1).cast("int")
-        finer = level.withColumn("key", F.xxhash64("key", F.substring(F.col("sig"), start, F.lit(4 * ROWS))))
-        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        finer = written(finer.join(sizes, "key"), "level")
-        found = found.union(_pairs(finer.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("vs"))))
-        level = finer.where(F.col("n") > SMALL).drop("n")
-        if not level.take(1):
-            break
-    return written(found.distinct(), "pairs")
-
-
-def links(docs: DataFrame, texts: DataFrame, pairs: DataFrame, sketch: Sketch) -> DataFrame:
-    """a, b, similarity of the candidate pairs that are at least SIMILARITY."""
-    shared = docs.sparkSession.sparkContext.broadcast((sketch.packed(), sketch.n))
+        return written(found, "pairs"), None
+    held = large.groupBy("v").agg(F.collect_list("key").alias("keys"))
+    for side in ("a", "b"):
+        found = found.join(held.select(F.col("v").alias(side), F.col("keys").alias("keys_" + side)), side, "left")
+    found = found.where(~F.coalesce(F.arrays_overlap("keys_a", "keys_b"), F.lit(False)))
+    return written(found.select("a", "b"), "pairs"), large
+
+
+def first_texts(docs: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """v, text of the given keys, from one document each."""
+    needed = texts.join(keys.distinct(), "v", "left_semi").select("v", "doc_id")
+    keyed = docs.select("doc_id", "text", text_key().alias("v")).where("v IS NOT NULL")
+    one = keyed.join(needed.withColumnRenamed("doc_id", "first"), (keyed["v"] == needed["v"]) & keyed["doc_id"].eqNullSafe(F.col("first"))).select(keyed["v"], "text")
+    return written(one.dropDuplicates(["v"]), "texts")
+
+
+def links(one: DataFrame, pairs: DataFrame, sketch: Sketch) -> DataFrame:
+    """a, b, similarity of the candidate pairs that are at least SIMILARITY; one has v and text."""
+    shared = one.sparkSession.sparkContext.broadcast((sketch.packed(), sketch.n))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, recent = Sketch(*shared.value), {}
@@ -247,22 +249,128 @@ def links(docs: DataFrame, texts: DataFrame, pairs: DataFrame, sketch: Sketch) -
             out = [similarity(parsed(a, x), parsed(c, y)) for a, c, x, y in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
-    needed = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", "left_semi").select("v", "doc_id")
-    keyed = docs.select("doc_id", "text", text_key().alias("v")).where("v IS NOT NULL")
-    one = keyed.join(needed.withColumnRenamed("doc_id", "first"), (keyed["v"] == needed["v"]) & keyed["doc_id"].eqNullSafe(F.col("first"))).select(keyed["v"], "text")
-    one = written(one, "texts")
     both = pairs.join(one.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.mapInArrow(task, "a binary, b binary, similarity double").where(F.col("similarity") >= SIMILARITY).distinct(), "links")
 
 
+def similarities(left: list[str], right: list[str], sketch: Sketch) -> np.ndarray:
+    """`similarity` of every text of one list to every text of the other.
+
+    A shingle that a text has tf times is tf units of its idf, so what two texts have in common is a product of matrices of units.
+    """
+    units, rows, totals, sizes = [], [], np.zeros(len(left) + len(right)), np.zeros(len(left) + len(right))
+    for i, text in enumerate(left + right):
+        x, tf = shingles(text, WORDS)
+        totals[i], sizes[i] = (tf * sketch.idf(x)).sum(), x.size
+        nth = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        units.append(np.stack([np.repeat(x, tf), nth.astype(U)], axis=1))
+        rows.append(np.full(nth.size, i))
+    unit, row = np.concatenate(units), np.concatenate(rows)
+    order = np.lexsort((unit[:, 1], unit[:, 0]))
+    unit, row = unit[order], row[order]
+    column = np.cumsum(np.concatenate(([0], (unit[1:] != unit[:-1]).any(axis=1)))) if row.size else row
+    n = int(column[-1]) + 1 if row.size else 0
+    on_left, on_right = (np.bincount(column[side], minlength=n) > 0 for side in (row < len(left), row >= len(left)))
+    both = (on_left & on_right)[column]
+    unit, row, column = unit[both], row[both], np.unique(column[both], return_inverse=True)[1]
+    idf, first = sketch.idf(unit[:, 0]), unit[:, 1] == 0
+    common, plain = (np.zeros((len(left), len(right))) for _ in range(2))
+    starts = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 if column.size else 0, COLUMNS))
+    for at, end in zip(starts, [*starts[1:], column.size], strict=True):
+        c, r, f = column[at:end] - column[at], row[at:end], first[at:end]
+        has = np.zeros((len(left) + len(right), int(c[-1]) + 1))
+        has[r, c] = 1
+        weight, distinct = np.zeros(has.shape[1]), np.zeros(has.shape[1])
+        weight[c], distinct[c] = idf[at:end], f
+        a, b = has[: len(left)], has[len(left) :].T
+        common += (a * weight) @ b
+        plain += (a * distinct) @ b
+    split = len(left)
+    return np.maximum(common / (totals[:split, None] + totals[None, split:] - common), plain / (sizes[:split, None] + sizes[None, split:] - plain))
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that span the components of a symmetric matrix of links."""
+    out, seen = [], np.zeros(linked.shape[0], bool)
+    for start in range(linked.shape[0]):
+        stack = [] if seen[start] else [start]
+        seen[start] = True
+        while stack:
+            u = stack.pop()
+            new = np.flatnonzero(linked[u] & ~seen)
+            seen[new] = True
+            out += [(u, int(x)) for x in new]
+            stack += new.tolist()
+    return out
+
+
+def compared(one: DataFrame, large: DataFrame, sketch: Sketch) -> DataFrame:
+    """Of all pairs that share a large bucket: v, null, number of links; and v, other, 0 of a forest that spans the links.
+
+    Every pair is compared once: in the one grid of its buckets, or in the first bucket it shares.
+    """
+    shared = one.sparkSession.sparkContext.broadcast((sketch.packed(), sketch.n))
+    cache: list[Sketch] = []
+
+    def task(group: pa.Table) -> pa.Table:
+        if not cache:
+            cache.append(Sketch(*shared.value))
+        cols = group.to_pydict()
+        p, q, band = cols["p"][0], cols["q"][0], cols["band"][0]
+        blocks = [[i for i, x in enumerate(cols["block"]) if x == side] for side in (p, q)]
+        keys = [np.array([cols["keys"][i] for i in x], np.int64).reshape(-1, BANDS) for x in blocks]
+        wanted = np.zeros((len(blocks[0]), len(blocks[1])), bool)
+        for i in range(BANDS) if band is None else range(band):
+            wanted |= (keys[0][:, i, None] == keys[1][None, :, i]) & (keys[0][:, i, None] != 0)
+        if band is not None:
+            wanted = ~wanted
+        if p == q:
+            wanted = np.triu(wanted, 1)
+        at, to = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+        out: list[tuple[bytes, bytes | None, int]] = []
+        if at.size:
+            left, right = [blocks[0][i] for i in at], [blocks[1][i] for i in to]
+            linked = wanted[np.ix_(at, to)] & (similarities([cols["text"][i] for i in left], [cols["text"][i] for i in right], cache[0]) >= SIMILARITY)
+            members = sorted({*left, *right})
+            place = {x: i for i, x in enumerate(members)}
+            whole = np.zeros((len(members), len(members)), bool)
+            whole[np.ix_([place[x] for x in left], [place[x] for x in right])] = linked
+            whole |= whole.T
+            v = [cols["v"][x] for x in members]
+            out = [(v[i], None, int(n)) for i, n in enumerate(whole.sum(axis=1)) if n] + [(v[i], v[j], 0) for i, j in _forest(whole)]
+        return pa.table({"v": pa.array([x[0] for x in out], pa.binary()), "other": pa.array([x[1] for x in out], pa.binary()), "n": pa.array([x[2] for x in out], pa.int64())})
+
+    least = large.groupBy("key").agg(F.min("v").alias("b"))
+    roots = components(large.join(least, "key").select(F.col("v").alias("a"), "b"))
+    at_band = [F.coalesce(F.max(F.when(F.col("band") == i, F.col("key"))), F.lit(0)) for i in range(BANDS)]
+    texts = written(large.groupBy("v").agg(F.array(*at_band).alias("keys"), F.sum("n").alias("cost")).join(roots, "v"), "held")
+    cost = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+    texts = texts.drop("cost").join(cost.select("root", (F.col("n") * F.col("n") <= F.col("cost")).alias("together")), "root").join(one, "v")
+    together = texts.where("together").select("v", "text", "keys", F.lit(None).cast("int").alias("band"), F.base64("root").alias("cell"))
+    apart = texts.where("NOT together").join(large.select("v", "band", "key"), "v").select("v", "text", "keys", "band", F.col("key").cast("string").alias("cell"))
+    rows = together.union(apart)
+    blocks = rows.groupBy("cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grid = dealt.select("cell", F.least("block", "against").alias("p"), F.greatest("block", "against").alias("q"), "block", "band", "v", "keys", "text")
+    return written(grid.groupBy("cell", "p", "q").applyInArrow(task, "v binary, other binary, n long"), "compared")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, v of every document; v, class_id, n_links of every text that has words)."""
     sketch = document_frequencies(docs)
     signed = written(signatures(docs, sketch), "signatures")
     texts = written(signed.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "distinct")
-    found = links(docs, texts, candidates(texts.select("v", "sig")), sketch)
-    roots = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
+    pairs, large = candidates(texts.select("v", "sig"))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("v"))
+    one = first_texts(docs, texts, keys if large is None else keys.union(large.select("v")))
+    found = links(one, pairs, sketch)
+    edges, counts = found.select("a", "b"), found.select(F.explode(F.array("a", "b")).alias("v"), F.lit(1).cast("long").alias("n"))
+    if large is not None:
+        more = compared(one, large, sketch)
+        edges = edges.union(more.where("other IS NOT NULL").select("v", "other"))
+        counts = counts.union(more.where("other IS NULL").select("v", "n"))
+    roots = components(edges)
+    degree = counts.groupBy("v").agg(F.sum("n").alias("n_links"))
     own = texts.select("v", "doc_id").join(roots, "v", "left").join(degree, "v", "left").select("v", "doc_id", F.coalesce("root", "v").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return signed.select("doc_id", "v"), written(own.join(least, "root").select("v", "class_id", "n_links"), "classes")

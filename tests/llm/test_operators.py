@@ -129,6 +129,34 @@ def test_near_duplicates(spark):
     assert all(got[i] == i for i in (0, 1, 2, 40, 41, 42)) and neardup.drop(table(spark, rows)).count() == len(rows) - 4 - 2
 
 
+def test_near_duplicates_count_every_link_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    rng = random.Random(12)
+    base = prose(rng, 150, 10_000).split()
+    family = []
+    for _ in range(150):
+        words = list(base)
+        for k in rng.sample(range(150), rng.randrange(1, 6)):
+            words[k] = f"e{rng.randrange(10_000)}"
+        family.append(" ".join(words))
+    rows = [(i, t, "en", "a") for i, t in enumerate(family)] + [(1000 + i, prose(rng, 60, 10_000), "en", "a") for i in range(60)]
+    df = table(spark, rows)
+    sketch = neardup.document_frequencies(df)
+    sets = [neardup.weighted(t, sketch) for t in family]
+    bands = [neardup.signature(*x).reshape(neardup.BANDS, neardup.ROWS) for x in sets]
+    want = Counter()
+    for i in range(len(family)):
+        for j in range(i):
+            if (bands[i] == bands[j]).all(axis=1).any() and neardup.similarity(sets[i], sets[j]) >= neardup.SIMILARITY:
+                want.update((i, j))
+    got = {r.doc_id: r.n_links for r in neardup.report(df).collect()}
+    assert max(want.values()) > 2 * neardup.SMALL and {i: n for i, n in got.items() if n} == want
+    texts = family[:20] + ["a b " * 30, "a b " * 50, "x"]
+    sets = [neardup.weighted(t, sketch) for t in texts]
+    assert np.allclose(neardup.similarities(texts[:9], texts, sketch), [[neardup.similarity(x, y) for y in sets] for x in sets[:9]])
+    assert np.allclose(neardup.similarities(texts[20:], texts[20:], sketch), [[neardup.similarity(x, y) for y in sets[20:]] for x in sets[20:]])
+
+
 def test_signature_agrees_with_similarity():
     rng = np.random.default_rng(3)
     x = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
