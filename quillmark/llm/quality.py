@@ -11,6 +11,12 @@ certified cutoff is used, and where none is certified the rule rejects nothing.
 So with probability 1 - `delta` no rule wrongly rejects more than `risk` of the
 good documents of any stratum.
 
+A stratum with too few good labels to certify any cutoff, even without a wrong
+rejection, is not tested by itself, so its share of the level is free. All such strata
+are tested as one pool, at the share of one of them. A cutoff certified for the
+pool is used in those of its strata that have labels and whose own labels show no more than
+`risk` wrongly rejected. For them the bound holds over the pool, not for each one.
+
 Grid and ratios are fixed beforehand, so every labelled row is a holdout row.
 Strata are the named languages and one for all others and null, so the table
 of cutoffs has a fixed size and needs no join.
@@ -24,6 +30,8 @@ is rejected. Extra columns are passed through by `judge`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,9 +126,24 @@ def certified_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK,
     sums = rows.groupBy(P + "stratum").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, (_, grid) in RULES.items() for i, c in enumerate(grid)]
     )
-    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, (_, grid) in RULES.items() for i, c in enumerate(grid)])
     level = delta / ((len(LANGUAGES) + 1) * len(RULES))
-    tested = sums.select(P + "stratum", "n", F.explode(tests).alias("x")).select(P + "stratum", "n", "x.*").withColumn("passed", binomial_cdf("k", "n", risk) <= level)
+    names = [c for c in sums.columns if c not in (P + "stratum", "n")]
+    small = F.exp(F.col("n") * math.log(1 - risk)) > level
+    pool = sums.where(small).agg(*[F.sum(c).alias("pool_" + c) for c in ("n", *names)])
+    sums = sums.crossJoin(F.broadcast(pool)).select(
+        P + "stratum",
+        F.when(small, F.col("pool_n")).otherwise(F.col("n")).alias("n"),
+        *[F.when(small, F.col("pool_" + c)).otherwise(F.col(c)).alias(c) for c in names],
+        *[(~small | (F.col(c) <= risk * F.col("n"))).alias("fair_" + c) for c in names],
+    )
+    tests = F.array(
+        *[
+            F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k"), F.col(f"fair_{r}_{i}").alias("fair"))
+            for r, (_, grid) in RULES.items()
+            for i, c in enumerate(grid)
+        ]
+    )
+    tested = sums.select(P + "stratum", "n", F.explode(tests).alias("x")).select(P + "stratum", "n", "x.*").withColumn("passed", F.col("fair") & (binomial_cdf("k", "n", risk) <= level))
     failed = F.min(F.when(~F.col("passed"), F.col("i")))
     found = (
         tested.groupBy(P + "stratum", "rule")

@@ -201,6 +201,21 @@ def test_quality_counts(spark):
     assert got[2].n_words == 0 and got[2].base_failed and not got[3].kept and got[3].n_repeat_words == 60
 
 
+def test_quality_pools_strata_of_few_labels(spark):
+    rng = random.Random(13)
+    clean, junk = prose(rng, 60, 10_000), prose(rng, 60, 10_000) + " #" * 60
+    rows = [(i, clean, "de" if i % 2 else "fr", "a") for i in range(1000)] + [(1000, junk, "es", "a")]
+    labels = spark.createDataFrame([(i, 1) for i in range(1001)] + [(2000, 0)], "doc_id long, quality int")
+    rows += [(2000 + i, junk, lang, "a") for i, lang in enumerate(("de", "fr", "es", "en"))]
+    counted = quality.measured(table(spark, rows))
+    cutoffs = quality.certified_cutoffs(counted, labels)
+    assert cutoffs["de", "symbols"] == cutoffs["fr", "symbols"] == 0.05 and cutoffs["es", "symbols"] == 0.5 and ("en", "symbols") not in cutoffs
+    got = {r.doc_id: r.kept for r in quality.report(table(spark, rows), labels).collect()}
+    assert [got[2000 + i] for i in range(4)] == [False, False, True, True] and all(got[i] for i in range(1001))
+    few = labels.where("doc_id < 500")
+    assert not quality.certified_cutoffs(counted, few)
+
+
 def test_rolling_is_by_content():
     a, b = textkit.hash_words("x a b c y"), textkit.hash_words("a  b\tc")
     assert textkit.rolling(a[0], 3)[1] == textkit.rolling(b[0], 3)[0] and textkit.rolling(b[0], 4).size == 0
