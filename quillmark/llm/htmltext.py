@@ -7,8 +7,12 @@ paths in page order, multiplied (fused), and paths of at least
 THRESHOLD of the best score are content. Links count against a path, and
 boilerplate tags and class words (menus, adverts, comments and the like) score
 nothing. The content paths vote, by their text, for the smallest element that
-holds most of it; its blocks are the article, but for boilerplate and lists of
-links, so that a short heading or paragraph is not lost for its length alone.
+holds most of it. The article is the outermost article or main element around that; where there is
+none, the outermost element around it that is free of boilerplate or, if that is further
+out, the one that holds all content paths. All its blocks are kept but for boilerplate, so
+that a short heading, list or paragraph is not lost for its length or its links. Only where
+it is the page's body, blocks of links outside the voted element are left out as menus,
+unless they are a single heading.
 
 Nulls and odd input: a null or empty page gives the empty string, and so does
 a page without content paths. Unclosed tags, comments and scripts end with the page.
@@ -175,10 +179,34 @@ def main_text(page: str | None) -> str:
             for node, label in zip(nodes, path, strict=True):
                 if votes.get(node, 0) >= MAJORITY * total and re.split(r"\.", label)[0] not in ("p", "li", "h1", "h2", "h3", "td", "tr", "pre", "blockquote") and node > inside:
                     inside = node
-    kept = [t for t, _, nodes, linked, bad in found if not bad and (inside < 0 or inside in nodes) and (linked <= LINKS or len(t) > 200)]
+    top, linking = _article(found, inside, votes, total)
+    kept = []
+    own = [x for x in found if not x[4] and (top < 0 or top in x[2])]
+    for k, (text, path, nodes, linked, _) in enumerate(own):
+        beside = own[max(k - 1, 0) : k] + own[k + 1 : k + 2]
+        heading = bool(path) and re.fullmatch("h[1-6]", path[-1].partition(".")[0])
+        single = not any(x[1] == path and x[3] > LINKS for x in beside)
+        if linking in nodes or linked <= LINKS or len(text) > 200 or single and heading:
+            kept.append(text)
     return "\n".join(kept)
 
 
+def _article(found: list[tuple], inside: int, votes: dict[int, int], total: int) -> tuple[int, int]:
+    """The element that is the article, and the one in which links are text; -1 for the whole page and for none."""
+    if inside < 0:
+        return -1, -1
+    nodes, path = next((n[: n.index(inside) + 1], p) for _, p, n, _, _ in found if inside in n)
+    tags = {n: x.partition(".")[0] for n, x in zip(nodes, path, strict=False)}
+    named = [n for n in nodes if tags[n] in ("article", "main")]
+    if named:
+        return named[0], named[0]
+    unclean = {x for _, _, n, _, bad in found if bad for x in n}
+    clean = next((n for n in nodes if n not in unclean), inside)
+    common = max((n for n in nodes if votes[n] == total), default=-1)
+    top = min(clean, common)
+    return top, next((n for n in (top, inside) if tags.get(n, "body") not in ("html", "body")), -1)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [main_text(x) for x in b.column("html").to_pylist()]

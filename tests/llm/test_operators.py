@@ -84,6 +84,22 @@ def test_html():
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p>") == ""
 
 
+def test_html_keeps_whole_articles():
+    long = "A long, plain sentence of the article. " * 20
+    menu = "<nav><a href=x>menu</a></nav>"
+    parts = {
+        "sections": (f"<h1>Head</h1><section><p>{long}</p></section><section><p>Short, last part.</p></section>", ["Head", long.strip(), "Short, last part."]),
+        "list": (f"<p>Before.</p><ul><li>{long}</li><li>Two.</li></ul><p>After.</p>", ["Before.", long.strip(), "Two.", "After."]),
+        "table": (f"<p>Before.</p><table><tr><td>{long}</td><td>Cell.</td></tr></table><p>After.</p>", ["Before.", long.strip(), "Cell.", "After."]),
+        "links": (f"<h2><a href=x>Linked head</a></h2><p>{long}</p><p><a href=x>See this.</a></p><ol><li><a href=x>First source</a></li><li><a href=y>Second source</a></li></ol>", ["Linked head", long.strip(), "See this.", "First source", "Second source"]),
+    }
+    for name, (inner, want) in parts.items():
+        for open_, close in (("<article>", "</article>"), ("<div class=story>", "</div>")):
+            assert htmltext.main_text(f"<body>{menu}{open_}{inner}{close}<footer>end</footer></body>").split("\n") == want, (name, open_)
+    loose = f"<body><div><div><a href=x>Home</a></div><div><a href=y>News</a></div></div><h1><a href=z>Head</a></h1><div><p>{long}</p></div></body>"
+    assert htmltext.main_text(loose).split("\n") == ["Head", long.strip()]
+
+
 def test_tiles_find_reordered_passages():
     rng = random.Random(7)
     item = prose(rng, 40, 10_000).split()
