@@ -7,9 +7,11 @@ holds it; the bin is found in a balanced tree over remaining capacities.
 a given number of bins, so that bin sizes come out near equal.
 
 At any number of documents, what the driver packs is bounded: a group of more
-than 1/CHUNKS of all bytes is packed by itself (there are fewer than CHUNKS of
-them), and all others are packed as CHUNKS chunks by hash. Both tables have
-fixed bounds and are broadcast, so documents are not shuffled to find their
+than 1/n of all bytes is packed by itself (there are fewer than n of
+them), and all others are packed as n chunks by hash. n is CHUNKS, and with a fixed
+capacity at least FINE for each capacity that the bytes fill, more while any chunk is above
+FINEST of the capacity. So both tables are bounded by CHUNKS or by the
+number of shards; they are broadcast, so documents are not shuffled to find their
 shard. Slots are numbered in (shard, hash of doc_id) parts whose number follows the
 input, and each part starts where the counts of earlier parts end.
 
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from quillmark.session import written
 
 CHUNKS = 4096
+#: Chunks for each shard of a fixed capacity, and the share of the capacity that no chunk exceeds.
+FINE, FINEST = 64, 0.125
 #: Rows that one task numbers, about.
 PART_ROWS = 50_000
 
@@ -156,17 +160,28 @@ def assign(docs: DataFrame, bins: int | None = 8, capacity: int | None = None) -
     rows = written(rows, "sized")
     groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    large = written(groups.where(F.col("bytes") * CHUNKS > F.lit(total)), "large")
-    alone = {("g", r.g): r.bytes for r in large.collect()}  # fewer than CHUNKS
-    rest = groups.where(F.col("bytes") * CHUNKS <= F.lit(total)).groupBy(F.pmod(F.col("g"), F.lit(CHUNKS)).cast("int").alias("c")).agg(F.sum("bytes").alias("bytes"))
-    chunks = {("c", r.c): r.bytes for r in rest.collect()}  # at most CHUNKS
+    if capacity is not None:
+        groups = written(groups, "groups")
+    n = CHUNKS if capacity is None else max(CHUNKS, -(-FINE * total // capacity))
+    while True:
+        by_hash = F.pmod(F.col("g"), F.lit(n).cast("long"))
+        rest = groups.where(F.col("bytes") * n <= F.lit(total)).groupBy(by_hash.alias("c")).agg(F.sum("bytes").alias("bytes"))
+        if capacity is None:
+            break
+        rest = written(rest, "chunks")
+        if (rest.agg(F.max("bytes")).first()[0] or 0) <= max(1, FINEST * capacity):
+            break
+        n *= 2
+    large = written(groups.where(F.col("bytes") * n > F.lit(total)), "large")
+    alone = {("g", r.g): r.bytes for r in large.collect()}  # fewer than n
+    chunks = {("c", r.c): r.bytes for r in rest.collect()}  # at most n
     placed = fixed_bins(alone | chunks, bins) if capacity is None else best_fit_decreasing(alone | chunks, capacity)[0]
     spark = docs.sparkSession
     by_group = spark.createDataFrame([(k, b) for (kind, k), b in placed.items() if kind == "g"], "g long, own int")
-    by_chunk = spark.createDataFrame([(k, b) for (kind, k), b in placed.items() if kind == "c"], "c int, common int")
+    by_chunk = spark.createDataFrame([(k, b) for (kind, k), b in placed.items() if kind == "c"], "c long, common int")
     return (
         rows.join(F.broadcast(by_group), "g", "left")
-        .withColumn("c", F.pmod(F.col("g"), F.lit(CHUNKS)).cast("int"))
+        .withColumn("c", by_hash)
         .join(F.broadcast(by_chunk), "c", "left")
         .select("doc_id", "size", "text_crc32", F.coalesce("own", "common").alias("shard"))
     )

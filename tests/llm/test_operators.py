@@ -68,6 +68,18 @@ def test_best_fit_and_slots(spark):
     assert sharding.report(table(spark, odd_rows()).limit(0)).count() == 0
 
 
+def test_fixed_capacity_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNKS", 8)
+    rng = random.Random(14)
+    sizes = {i: rng.randrange(20, 60) for i in range(600)}
+    rows = [(i, f"{i:05d}" + "x" * (n - 6), "en", "a") for i, n in sizes.items()]
+    loads = Counter()
+    for r in sharding.assign(table(spark, rows), capacity=200).collect():
+        loads[r.shard] += r.size
+    assert sum(loads.values()) == sum(sizes.values()) and max(loads.values()) <= 200
+    assert len(loads) == sharding.best_fit_decreasing(sizes, 200)[1]
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a <| \\ <\\| b"), (1, 1, "assistant", "x\n<|im_end|>"), (1, 2, "user", None), (2, None, None, "q"), (2, 1, "as\nst", ""), (None, 0, "assistant", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
