@@ -5,7 +5,9 @@ the other in 16 bits (32 where an id needs it). Boundaries, the number of ids up
 to the end of each document, are a non-decreasing sequence in Elias-Fano form:
 low bits packed, high bits in unary in a bit vector, at most 2 + log2(u / n)
 bits a document. select(i) finds the i-th one bit by a sampled directory of
-bytes, so offsets come back without a table of 64-bit numbers.
+bytes, stored in the file as 32-bit numbers, so offsets come back without a table of 64-bit
+numbers and without reading the other boundaries. Files are read through it: a task takes the
+ends of the documents it wants, all of them or a few (`fetch`).
 
 Files are the binary rows of a Parquet table, one row a file, which Spark's
 committer writes to any file system and finishes once if an executor is lost.
@@ -13,8 +15,9 @@ Files are cut at FILE_IDS ids (a longer document has a file of its own), and the
 order is (part, file), parts being ranges of doc_id.
 
 Nulls and odd input: a null text is empty and yields the end id alone. Null
-doc_ids come first. Equal doc_ids are ordered by text and get entries of their own. An
-empty table gives no file. Texts of any length are encoded piece by piece, cut
+doc_ids come first. Rows of equal doc_id (or of none) are ordered by a hash of the text, then by text, so that
+they can fill several parts, and get entries of their own. Extra columns are not looked at. An
+empty table gives no file. A document is a cell of its file, so its ids are bounded by the 2 GB of a cell. Texts of any length are encoded piece by piece, cut
 where the tokenizer itself always cuts: between a visible character and a space.
 """
 
@@ -36,8 +39,10 @@ from quillmark.session import written
 END_ID = 0
 FILE_IDS = 1 << 20
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 1_000_000
-MAGIC = b"QEF1"
+REMEMBERED = 1_500_000
+#: Characters of text that are coded at a time, about.
+SLICE = 1 << 23
+MAGIC = b"QEF2"
 #: New words that the tokenizer gets as one text.
 CHAIN = 256
 SAMPLE = 64
@@ -49,12 +54,9 @@ ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 class EliasFano:
     """A non-decreasing sequence of n numbers up to u."""
 
-    def __init__(self, n: int, u: int, low: bytes, high: bytes):
-        self.n, self.u, self.low, self.high = n, u, low, high
+    def __init__(self, n: int, u: int, low: bytes, high: bytes, directory: np.ndarray):
+        self.n, self.u, self.low, self.high, self.directory = n, u, low, high, directory
         self.width = self.bits(n, u)
-        # ones before every SAMPLE-th byte: the directory that select searches
-        ones = ONES[np.frombuffer(high, np.uint8)]
-        self.directory = np.concatenate(([0], np.cumsum(np.add.reduceat(ones, np.arange(0, max(ones.size, 1), SAMPLE))))) if ones.size else np.zeros(1, int)
 
     @staticmethod
     def bits(n: int, u: int) -> int:
@@ -69,54 +71,63 @@ class EliasFano:
         places = (values >> width) + np.arange(n)
         high = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
         high[places] = 1
-        return cls(n, u, np.packbits(low, bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes())
-
-    def select(self, i: int) -> int:
-        """The i-th number, from 0."""
-        block = int(np.searchsorted(self.directory, i, "right")) - 1
-        left, byte = i - int(self.directory[block]), block * SAMPLE
-        while left >= ONES[self.high[byte]]:
-            left -= int(ONES[self.high[byte]])
-            byte += 1
-        rest, bit = self.high[byte], 0
-        while True:
-            if rest >> bit & 1:
-                if not left:
-                    break
-                left -= 1
-            bit += 1
-        low, at = 0, i * self.width
-        for k in range(self.width):
-            low |= (self.low[(at + k) >> 3] >> ((at + k) & 7) & 1) << k
-        return ((8 * byte + bit - i) << self.width) | low
-
-    def all(self) -> np.ndarray:
-        """All numbers at once."""
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.width].reshape(self.n, self.width).astype(np.int64)
-        return ((places - np.arange(self.n)) << self.width) | (bits << np.arange(self.width)).sum(axis=1)
-
-
-def pack(ids: list[bytes]) -> bytes:
-    """A file from the documents' ids, each as little-endian unsigned 32-bit integers."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    ends = np.cumsum([len(x) // 4 for x in ids])
+        bits = np.packbits(high, bitorder="little")
+        # ones before every SAMPLE-th byte
+        directory = np.cumsum(np.concatenate(([0], np.add.reduceat(ONES[bits], np.arange(0, bits.size, SAMPLE), dtype=np.int64)[:-1]))) if n else np.empty(0)
+        return cls(n, u, np.packbits(low, bitorder="little").tobytes(), bits.tobytes(), directory.astype("<u4"))
+
+    def select(self, wanted: np.ndarray) -> np.ndarray:
+        """The numbers at the wanted places (from 0, ascending); only the parts of the bit vector that hold them are looked at."""
+        if not wanted.size:
+            return np.empty(0, np.int64)
+        block = np.searchsorted(self.directory, wanted, "right") - 1
+        blocks, at = np.unique(block, return_inverse=True)
+        high = np.frombuffer(self.high, np.uint8)
+        own = np.zeros((blocks.size, SAMPLE), np.uint8)
+        for row, k in zip(own, blocks.tolist(), strict=True):
+            part = high[k * SAMPLE : (k + 1) * SAMPLE]
+            row[: part.size] = part
+        row, bit = np.nonzero(np.unpackbits(own, axis=1, bitorder="little"))
+        first = np.searchsorted(row, np.arange(blocks.size))
+        places = bit[first[at] + wanted - self.directory[block]] + 8 * SAMPLE * block
+        bits = wanted[:, None] * self.width + np.arange(self.width)
+        low = (np.frombuffer(self.low, np.uint8)[bits >> 3] >> (bits & 7) & 1).astype(np.int64) << np.arange(self.width)
+        return ((places - wanted) << self.width) | low.sum(axis=1)
+
+
+HEAD = "<4sBQQQQQ"
+
+
+def pack(flat: np.ndarray, ends: np.ndarray) -> bytes:
+    """A file from the ids of all its documents and the number of ids up to the end of each."""
     ef = EliasFano.encode(ends)
     narrow = not flat.size or int(flat.max()) < 1 << 16
-    head = struct.pack("<4sBQQQQ", MAGIC, 2 if narrow else 4, ef.n, ef.u, len(ef.low), len(ef.high))
-    return head + ef.low + ef.high + flat.astype("<u2" if narrow else "<u4").tobytes()
+    head = struct.pack(HEAD, MAGIC, 2 if narrow else 4, ef.n, ef.u, len(ef.low), len(ef.high), ef.directory.size)
+    return head + ef.directory.tobytes() + ef.low + ef.high + flat.astype("<u2" if narrow else "<u4").tobytes()
 
 
 def unpack(file: bytes) -> tuple[EliasFano, np.ndarray]:
     """Boundaries and ids of a file."""
-    magic, width, n, u, low, high = struct.unpack_from("<4sBQQQQ", file)
+    magic, width, n, u, low, high, blocks = struct.unpack_from(HEAD, file)
     if magic != MAGIC:
         raise ValueError("not a token-id file")
-    at = struct.calcsize("<4sBQQQQ")
-    ef = EliasFano(n, u, file[at : at + low], file[at + low : at + low + high])
+    at = struct.calcsize(HEAD)
+    directory = np.frombuffer(file, "<u4", blocks, at)
+    at += 4 * blocks
+    ef = EliasFano(n, u, file[at : at + low], file[at + low : at + low + high], directory)
     return ef, np.frombuffer(file, f"<u{width}", offset=at + low + high)
 
 
+def documents(file: bytes, wanted: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Starts and ids of the wanted documents of a file (places from 0, ascending), or of all."""
+    ef, ids = unpack(file)
+    wanted = np.arange(ef.n) if wanted is None else wanted
+    ends = ef.select(wanted)
+    begins = np.zeros(wanted.size, np.int64)
+    begins[wanted > 0] = ef.select(wanted[wanted > 0] - 1)
+    return begins, [ids[s:e] for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+
+
 def _visible(c: str) -> bool:
     return c.isalnum() or "!" <= c <= "~"
 
@@ -186,41 +197,46 @@ class Encoder:
 
     def _ids(self, distinct: list[str]) -> list[bytes]:
         """Ids of pieces."""
-        new = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-            new = [p for p in distinct if p not in self.known]
-        self._learn(new)
-        return [self.known[p] for p in distinct]
-
-    def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
-        column, end = pa.array(texts, pa.string()), struct.pack("<I", end_id)
-        uneven = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False)
-        out = [b""] * len(texts)
-        for i in np.flatnonzero(uneven):
-            cut = pieces(texts[i])
-            distinct = list(dict.fromkeys(cut))
-            of = dict(zip(distinct, self._ids(distinct), strict=True))
-            out[i] = b"".join(map(of.__getitem__, cut)) + end
-        even = np.flatnonzero(~uneven)
-        if not even.size:
-            return out
-        parts = pc.split_pattern(column.take(pa.array(even)), " ")
-        coded, at = parts.flatten().dictionary_encode(), parts.offsets.to_numpy().astype(np.int64)
-        at -= at[0]
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        known = self.known
+        out = list(map(known.get, distinct))
+        new = [p for p, x in zip(distinct, out, strict=True) if x is None]
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                self.known = dict(islice(known.items(), REMEMBERED // 2))
+            self._learn(new)
+            out = [self.known[p] if x is None else x for p, x in zip(distinct, out, strict=True)]
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each followed by end_id, and the number of ids up to the end of each text."""
+        n = len(texts)
+        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        # an uneven text is one piece of its own kind, coded after the words
+        parts = pc.split_pattern(pc.if_else(pa.array(uneven), "", texts), " ")
+        coded, at = parts.values.dictionary_encode(), parts.offsets.to_numpy().astype(np.int64)
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         # the first word of a text has no space in front of it: these are coded after the others
         firsts, place = np.unique(codes[at[:-1]], return_inverse=True)
-        codes[at[:-1]] = len(words) + place
-        table = self._ids([" " + w for w in words] + [words[k] for k in firsts])
-        flat, sizes = np.frombuffer(b"".join(table), "<u4"), np.array([len(x) // 4 for x in table], np.int64)
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n) + np.arange(ends[-1])]
-        bounds = np.concatenate(([0], ends))[at]
-        for i, s, e in zip(even, bounds[:-1], bounds[1:], strict=True):
-            out[i] = ids[s:e].tobytes() + end
-        return out
+        table = self._ids([" " + w for w in words])
+        table += self._ids([words[k] for k in firsts])
+        place = place + len(words)
+        for i in np.flatnonzero(uneven).tolist():
+            cut = pieces(texts[i].as_py())
+            distinct = list(dict.fromkeys(cut))
+            of = dict(zip(distinct, self._ids(distinct), strict=True))
+            place[i] = len(table)
+            table.append(b"".join(map(of.__getitem__, cut)))
+        # the end id is a word after the last of each text
+        every = np.empty(codes.size + n, np.int32)
+        ends = at[1:] + np.arange(n)
+        inside = np.ones(every.size, bool)
+        inside[ends] = False
+        every[inside], every[ends] = codes, len(table)
+        every[at[:-1] + np.arange(n)] = place
+        taken = pa.array([*table, struct.pack("<I", end_id)], pa.large_binary()).take(pa.array(every))
+        _, offsets, data = taken.buffers()
+        stops = np.frombuffer(offsets, np.int64)[: every.size + 1][1:][ends] // 4
+        return np.frombuffer(data, "<u4", int(stops[-1]) if n else 0), stops
 
 
 def tokenizer_path() -> str:
@@ -229,6 +245,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_ids and texts (null as empty) of about SLICE characters, across batches."""
+    keys, texts, size = [], [], 0
+    for b in batches:
+        column = pc.fill_null(b.column("text").cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy())
+        at = 0
+        while at < ends.size:
+            done = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, done + SLICE - size, "right")))
+            keys.append(b.column("doc_id").slice(at, upto - at))
+            texts.append(column.slice(at, upto - at))
+            size += int(ends[upto - 1]) - done
+            at = upto
+            if size >= SLICE or at < ends.size:
+                yield pa.concat_arrays(keys), pa.concat_arrays(texts)
+                keys, texts, size = [], [], 0
+    if keys:
+        yield pa.concat_arrays(keys), pa.concat_arrays(texts)
+
+
 def write_files(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the files; returns part, file, doc_ids, payload, n_ids as read from storage. Documents are shuffled once, by range of doc_id."""
     path = path or tokenizer_path()
@@ -240,37 +277,35 @@ def write_files(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, file = Encoder.of(path), TaskContext.get().partitionId(), 0
-        keys, ids, held = [], [], 0
+        keys, held, sizes, total = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, ids, held, file
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([pack(ids)], pa.binary()), pa.array([held], pa.int64())],
-                ["part", "file", "doc_ids", "payload", "n_ids"],
-            )
-            keys, ids, held, file = [], [], 0, file + 1
-            return out
-
-        for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            doc_ids, at = b.column("doc_id").to_pylist(), 0
-            while at < len(texts):  # about a megabyte of text at a time
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= 1 << 20):
-                    size += len(texts[upto])
-                    upto += 1
-                for key, x in zip(doc_ids[at:upto], encoder.encode(texts[at:upto]), strict=True):
-                    if held and held + len(x) // 4 > FILE_IDS:
+            nonlocal keys, held, sizes, total, file
+            row = [part], [file], [pa.concat_arrays(keys)], [pack(np.concatenate(held), np.cumsum(np.concatenate(sizes)))], [total]
+            kinds = pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64()
+            keys, held, sizes, total, file = [], [], [], 0, file + 1
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["part", "file", "doc_ids", "payload", "n_ids"])
+
+        for doc_ids, texts in _slices(batches):
+            flat, ends = encoder.encode(texts)
+            at, base = 0, 0
+            while at < ends.size:
+                upto = int(np.searchsorted(ends, base + FILE_IDS - total, "right"))
+                if upto <= at:
+                    if total:
                         yield flush()
-                    keys.append(key)
-                    ids.append(x)
-                    held += len(x) // 4
-                at = upto
-        if keys:
+                        continue
+                    upto = at + 1
+                keys.append(doc_ids[at:upto])
+                held.append(flat[base : ends[upto - 1]])
+                sizes.append(np.diff(ends[at:upto], prepend=base))
+                total += int(ends[upto - 1]) - base
+                at, base = upto, int(ends[upto - 1])
+        if total:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(encode, "part int, file int, doc_ids array<long>, payload binary, n_ids long"), "tokens")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    return written(ordered.select("doc_id", "text").mapInArrow(encode, "part int, file int, doc_ids array<long>, payload binary, n_ids long"), "tokens")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -285,14 +320,12 @@ def read_files(files: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, file, keys, payload in zip(*(b.column(c).to_pylist() for c in ("part", "file", "doc_ids", "payload")), strict=True):
-                ef, ids = unpack(payload)
-                ends = ef.all()
-                begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                wide = ids.astype("<u4")
-                sums = [zlib.crc32(wide[s:e].tobytes()) for s, e in zip(begins, ends, strict=True)]
+            for part, file, keys, payload in zip(*(b.column(c) for c in ("part", "file", "doc_ids", "payload")), strict=True):
+                begins, ids = documents(payload.as_py())
+                n = begins.size
+                sums = [zlib.crc32(x.astype("<u4")) for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * ef.n, pa.int32()), pa.array([file] * ef.n, pa.int32()), pa.array(keys, pa.int64()), pa.array(begins), pa.array(ends - begins, pa.int64()), pa.array(sums, pa.int64())],
+                    [pa.repeat(part, n), pa.repeat(file, n), keys.values, pa.array(begins), pa.array([x.size for x in ids], pa.int64()), pa.array(sums, pa.int64())],
                     ["part", "file", "doc_id", "begin", "n_tokens", "ids_crc32"],
                 )
 
@@ -300,5 +333,21 @@ def read_files(files: DataFrame) -> DataFrame:
     return rows.join(starts, ["part", "file"]).select("doc_id", (F.col("at") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", "part", "file")
 
 
+def fetch(files: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """doc_id, ids of the documents of the given ids: of the files that hold any, only their boundaries are selected."""
+    wanted = np.unique(np.array(doc_ids, np.int64))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, payload in zip(b.column("doc_ids"), b.column("payload"), strict=True):
+                own = keys.values.fill_null(-1).to_numpy()
+                at = np.flatnonzero(np.isin(own, wanted) & keys.values.is_valid().to_numpy(zero_copy_only=False))
+                ids = documents(payload.as_py(), at)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at], pa.int64()), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    held = files.where(F.arrays_overlap("doc_ids", F.lit(wanted.tolist()).cast("array<long>"))) if wanted.size else files.limit(0)
+    return held.select("doc_ids", "payload").mapInArrow(find, "doc_id long, ids array<long>")
+
+
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return read_files(write_files(docs, path))
