@@ -39,9 +39,9 @@ from quillmark.session import written
 END_ID = 0
 FILE_IDS = 1 << 20
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_200_000
 #: Characters of text that are coded at a time, about.
-SLICE = 1 << 23
+SLICE = 1 << 22
 MAGIC = b"QEF2"
 #: New words that the tokenizer gets as one text.
 CHAIN = 256

@@ -247,3 +247,44 @@ def test_quality_pools_strata_of_few_labels(spark):
 def test_rolling_is_by_content():
     a, b = textkit.hash_words("x a b c y"), textkit.hash_words("a  b\tc")
     assert textkit.rolling(a[0], 3)[1] == textkit.rolling(b[0], 3)[0] and textkit.rolling(b[0], 4).size == 0
+
+
+LONG = "A long, plain sentence of the article. " * 20
+
+
+def test_html_names_do_not_erase_an_article():
+    article = f"<h1>Head</h1><p>{LONG}</p><p><a href=x>See this.</a></p><p>Short end.</p>"
+    want = ["Head", LONG.strip(), "See this.", "Short end."]
+    around = [('<div class="content no-sidebar">', "</div>"), ('<div class="page has-sidebar">', "</div>"), ('<div class="article-header">', "</div>"), ('<div class="post-with-comments">', "</div>"), ("<form action=x>", "</form>"), ("<main><header>", "</header></main>"), ('<div role="main">', "</div>"), ("<nav>", "")]
+    for open_, close in around:
+        page = f"<body><div class=sidebar><p>A side, of text.</p></div>{open_}{article}{close}<div id=user-comments><p>I like it, very much.</p></div><footer>end</footer></body>"
+        assert htmltext.main_text(page).split("\n") == want, open_
+    assert htmltext.main_text("<body><nav><p>Menu, of all.</p></nav><div class=ad>Buy, now.</div></body>") == ""
+
+
+def test_html_of_random_pages(spark):
+    """Pages made of known article blocks and known boilerplate: exactly the blocks come back, in order."""
+    rng = random.Random(21)
+    noise = [
+        lambda x: f"<nav><ul><li><a href=x>{x}</a></li></ul></nav>", lambda x: f"<div class='ad-slot'>{x}</div>", lambda x: f"<aside><p>{x}</p></aside>", lambda x: f"<form><label>{x}</label><input></form>",
+        lambda x: f"<script>var t = '<p>{x}</p>'</script>", lambda x: f"<!-- <p>{x}</p> -->", lambda x: f"<div id=cookie-notice><p>{x}</p></div>", lambda x: f"<section class=comments><article class=comment><p>{x}</p></article></section>",
+    ]
+    blocks = [
+        lambda x: f"<p>{x}</p>", lambda x: f"<p>{x}", lambda x: f"<h2>{x}</h2>", lambda x: f"<div><p>{x}</p></div>", lambda x: f"<blockquote>{x}</blockquote>", lambda x: f"<ul><li>{x}</li></ul>",
+        lambda x: f"<p><a href=y>{x}</a></p>", lambda x: f"<table><tr><td><b>{x}</b></td></tr></table>", lambda x: f"<section>\n {x}\n</section>",
+    ]
+    rows, want = [], {}
+    for i in range(300):
+        said = [prose(rng, rng.randrange(1, 60)) + rng.choice([".", ", yes.", " &amp; so on.", ""]) for _ in range(rng.randrange(2, 12))]
+        said[0] += ". " + prose(rng, 60) + "."
+        inner = f"<h1>Title {i}</h1>" + "".join(rng.choice(blocks)(x) if k else f"<p>{x}</p>" for k, x in enumerate(said))
+        open_, close = rng.choice([("<article>", "</article>"), ("<main><article class='post full'>", "</article></main>"), ("<main>", "</main>")])
+        before, after = ("".join(rng.choice(noise)(prose(rng, rng.randrange(1, 80)) + ".") for _ in range(rng.randrange(4))) for _ in range(2))
+        rows.append((i, "u", f"<html><body>{before}{open_}{inner}{close}{after}<footer>{prose(rng, 9)}</footer></body></html>", "clash"))
+        want[i] = "\n".join([f"Title {i}", *(x.replace("&amp;", "&") for x in said)])
+    rows += [(900, None, None, None), (901, "u", "", "x"), (902, "u", "<div>" * 5000 + f"<p>{LONG}</p>" + "</div>" * 5000, "x"), (902, "u", "<div>" * 5000 + f"<p>{LONG}</p>", "x")]
+    want |= {900: "", 901: "", 902: LONG.strip()}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
+    got = htmltext.report(pages).collect()
+    assert len(got) == len(rows) and all((r.text, r.n_chars) == (want[r.page_id], len(want[r.page_id])) for r in got), next((r.page_id, r.text, want[r.page_id]) for r in got if r.text != want[r.page_id])
+    assert htmltext.report(pages.limit(0)).count() == 0
