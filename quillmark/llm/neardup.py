@@ -1,12 +1,13 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Document frequencies. A count-min sketch of fixed size gathers, over all
-   documents, how many hold each shingle (five words). idf = ln(1 + N / df), and
-   not more than at df = COMMON * N: the sketch's error is far below that,
-   at any N, so only shingles of more than a COMMON share of documents weigh less.
+   documents, how many hold each shingle (five words); idf = ln(1 + N / df). Its estimates are never too
+   low, and too high by about N * (mean distinct shingles a document) / 2**SKETCH_BITS: for documents of 350
+   words by N / 750, so that no idf is above 6.6 there. That is its only bound.
 2. Signatures. ROWS * BANDS consistent weighted samples (Ioffe's improved
    scheme) of tf * idf: two documents share a sample with the probability of
-   their weighted Jaccard similarity.
+   their weighted Jaccard similarity. ROWS * PLAIN more samples are taken with all weights alike, and are shared
+   with the probability of the plain Jaccard similarity.
 3. Candidates are all pairs of texts that share a band, however many texts share it. In
    a bucket of up to SMALL texts they are listed. Larger buckets are compared as a
    grid: their texts are dealt by hash into blocks of about BLOCK texts, and every
@@ -15,19 +16,20 @@
    grid gives no list of links, which grows with the square of a group, but
    each text's number of links and a forest that spans them.
 4. Verification. Both whole texts' weighted shingle sets give the weighted
-   Jaccard similarity; with all weights alike it is the plain one. A pair is a link
-   if either is at least SIMILARITY: rare edits must not hide a copy of a text that
-   thousands copy, and boilerplate must not make one.
+   Jaccard similarity. A pair is a link if that is at least SIMILARITY, or, unless plain=False is asked for, if the
+   plain one is: in a family of thousands the shared shingles have low idf and the few edited ones a high one, so that weights alone
+   hide plain copies. With plain=False the plain bands and the plain measure are left out.
 5. Classes are the connected components of the links.
 
 Exact copies are put together first, by a digest of the text, and are members of their
-text's class, not pairs. Two texts at similarity 0.8 share no band with probability
-(1 - 0.8**3)**16, about 1e-5.
+text's class, not pairs. Two texts at weighted similarity 0.8 share no weighted band with probability
+(1 - 0.8**3)**16, about 1e-5; at plain similarity 0.8 no plain band with (1 - 0.8**3)**12, about 2e-4.
 
 Nulls and odd input: texts without words (null, empty, blank) are in no class
 but their own, whose id is their doc_id. A text of under five words is one
 shingle. A class has the least doc_id of its members (null only if all are null). Repeated rows
-are members of one class. Whole texts are sampled, of any length.
+are members of one class. Whole texts are sampled, of any length. Extra columns pass through `drop`, and
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,18 +48,17 @@ from quillmark.llm.textkit import U, mix, shingles
 from quillmark.session import written
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS, SMALL = 16, 3, 32
+BANDS, PLAIN, ROWS, SMALL = 16, 12, 3, 32
 #: Texts and characters of a block of a grid, about, and shingles that a block is compared by at a time.
 BLOCK, BLOCK_CHARS, COLUMNS = 512, 1 << 24, 4096
-COMMON = 0.05
-SKETCH_ROWS, SKETCH_BITS = 2, 17
-_K = BANDS * ROWS
+SKETCH_ROWS, SKETCH_BITS = 2, 18
+_K, _ALL = BANDS * ROWS, (BANDS + PLAIN) * ROWS
 _RNG = np.random.default_rng(20240131)
 #: Gamma(2, 1) numbers for 16 random bits each, and a key for each sample.
 _R = _RNG.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
+_PER_R = 1 / _R
 _LNC = np.log(_RNG.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
-_KEYS = _RNG.integers(1, 1 << 63, _K, dtype=np.uint64) | U(1)
-_MASK = U(0xFFFF)
+_KEYS = (_RNG.integers(1, 1 << 63, _ALL, dtype=np.uint64) | U(1))[:, None]
 
 
 def text_key() -> Column:
@@ -89,7 +90,7 @@ class Sketch:
 
     def idf(self, x: np.ndarray) -> np.ndarray:
         df = np.maximum(1, np.min([row[at] for row, at in zip(self.counts, _slots(x), strict=True)], axis=0))
-        return np.minimum(np.log1p(self.n / df), np.log1p(1 / COMMON))
+        return np.log1p(self.n / df)
 
 
 _SKETCH_SCHEMA = "n long, counts binary"
@@ -138,23 +139,41 @@ def document_frequencies(docs: DataFrame) -> Sketch:
     return total
 
 
+def _draws(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """64 random bits for each key (rows) and shingle."""
+    z = x[None, :] ^ keys
+    z *= U(0x9E3779B97F4A7C15)
+    z ^= z >> U(29)
+    z *= U(0xBF58476D1CE4E5B9)
+    return z
+
+
 def signature(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """One 32-bit sample for each key: the element of least ln a = ln c - r (t - beta + 1), t = floor(ln w / r + beta)."""
+    """One 32-bit sample for each key. Weighted: the shingle of least ln a = ln c - r (t - beta + 1), t = floor(ln w / r + beta), with t. Plain: the least draw."""
     lnw = np.log(weights).astype(np.float32)
-    best, out = np.full(_K, np.inf, np.float32), np.zeros(_K, U)
-    for at in range(0, x.size, 1024):
-        own = x[at : at + 1024]
-        z = (own[:, None] ^ _KEYS[None, :]) * U(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> U(29))) * U(0xBF58476D1CE4E5B9)
-        r, beta = _R[z >> U(48)], ((z >> U(16)) & _MASK).astype(np.float32) / np.float32(65536)
-        t = np.floor(lnw[at : at + 1024, None] / r + beta)
-        ln_a = _LNC[(z >> U(32)) & _MASK] - r * (t - beta + np.float32(1))
-        j = np.argmin(ln_a, axis=0)
-        k = np.arange(_K)
-        better = ln_a[j, k] < best
-        best = np.where(better, ln_a[j, k], best)
-        out = np.where(better, mix(own[j] + t[j, k].astype(np.int64).astype(U) * U(0xD6E8FEB86659FD93)), out)
-    return (out >> U(32)).astype("<u4")
+    best, chosen, level, k = np.full(_K, np.inf, np.float32), np.zeros(_K, np.int64), np.zeros(_K, np.int64), np.arange(_K)
+    plain = np.full(_ALL - _K, (1 << 64) - 1, U)
+    for at in range(0, x.size, 512):
+        own = x[at : at + 512]
+        z = _draws(own, _KEYS[:_K])
+        # 16 bits each for r, c and beta
+        place = (z >> U(48)).view(np.int64)
+        r, t = _R.take(place), _PER_R.take(place)
+        beta = z.view("<u2").reshape(_K, own.size, 4)[:, :, 1].astype(np.float32)
+        beta *= np.float32(1 / 65536)
+        t *= lnw[None, at : at + 512]
+        t += beta
+        np.floor(t, out=t)
+        z >>= U(32)
+        z &= U(0xFFFF)
+        ln_a = _LNC.take(z.view(np.int64))
+        ln_a -= r * (t - beta + np.float32(1))
+        j = ln_a.argmin(axis=1)
+        better = ln_a[k, j] < best
+        best, chosen, level = (np.where(better, new, old) for new, old in ((ln_a[k, j], best), (j + at, chosen), (t[k, j].astype(np.int64), level)))
+        np.minimum(plain, _draws(own, _KEYS[_K:]).min(axis=1), out=plain)
+    out = mix(x[chosen] + level.astype(U) * U(0xD6E8FEB86659FD93))
+    return (np.concatenate((out, mix(plain))) >> U(32)).astype("<u4")
 
 
 def weighted(text: str, sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +182,14 @@ def weighted(text: str, sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
     return x, tf * sketch.idf(x)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of the weighted and the plain Jaccard similarity."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], plain: bool = True) -> float:
+    """The weighted Jaccard similarity, or the plain one if that is larger and asked for."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not i.size:
         return 0.0
     common = np.minimum(a[1][i], b[1][j]).sum()
-    return max(float(common / (a[1].sum() + b[1].sum() - common)), i.size / (a[0].size + b[0].size - i.size))
+    both = float(common / (a[1].sum() + b[1].sum() - common))
+    return max(both, i.size / (a[0].size + b[0].size - i.size)) if plain else both
 
 
 def signatures(docs: DataFrame, sketch: Sketch) -> DataFrame:
@@ -193,7 +213,7 @@ def signatures(docs: DataFrame, sketch: Sketch) -> DataFrame:
 
 
 def _band(i: int) -> Column:
-    return F.substring(F.col("sig"), 4 * ROWS * (i % BANDS) + 1, 4 * ROWS)
+    return F.substring(F.col("sig"), 4 * ROWS * i + 1, 4 * ROWS)
 
 
 def _pairs(buckets: DataFrame) -> DataFrame:
@@ -203,12 +223,12 @@ def _pairs(buckets: DataFrame) -> DataFrame:
     ).select("p.a", "p.b")
 
 
-def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def candidates(texts: DataFrame, plain: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Distinct pairs a < b of text keys that share a bucket of at most SMALL and no larger one; (v, band, key, n) of the larger buckets, or None.
 
     texts has v and sig, one row per text.
     """
-    keyed = texts.select("v", F.posexplode(F.array(*[F.xxhash64(F.lit(i), _band(i)) for i in range(BANDS)])).alias("band", "key"))
+    keyed = texts.select("v", F.posexplode(F.array(*[F.xxhash64(F.lit(i), _band(i)) for i in range(BANDS + PLAIN if plain else BANDS)])).alias("band", "key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(keyed.join(sizes, "key").select("v", "band", "key", "n"), "buckets")
     found = _pairs(members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("vs"))).distinct()
@@ -224,13 +244,13 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def first_texts(docs: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFrame:
     """v, text of the given keys, from one document each."""
-    needed = texts.join(keys.distinct(), "v", "left_semi").select("v", "doc_id")
-    keyed = docs.select("doc_id", "text", text_key().alias("v")).where("v IS NOT NULL")
-    one = keyed.join(needed.withColumnRenamed("doc_id", "first"), (keyed["v"] == needed["v"]) & keyed["doc_id"].eqNullSafe(F.col("first"))).select(keyed["v"], "text")
+    needed = texts.join(keys.distinct(), "v", "left_semi").select("v", F.substring("v", -16, 16).alias("digest"), F.col("doc_id").alias("first"))
+    keyed = docs.select("doc_id", "text", text_key().alias("own")).where("own IS NOT NULL")
+    one = keyed.join(needed, (F.col("own") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "text")
     return written(one.dropDuplicates(["v"]), "texts")
 
 
-def links(one: DataFrame, pairs: DataFrame, sketch: Sketch) -> DataFrame:
+def links(one: DataFrame, pairs: DataFrame, sketch: Sketch, plain: bool = True) -> DataFrame:
     """a, b, similarity of the candidate pairs that are at least SIMILARITY; one has v and text."""
     shared = one.sparkSession.sparkContext.broadcast((sketch.packed(), sketch.n))
 
@@ -246,14 +266,14 @@ def links(one: DataFrame, pairs: DataFrame, sketch: Sketch) -> DataFrame:
 
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]
-            out = [similarity(parsed(a, x), parsed(c, y)) for a, c, x, y in zip(*cols, strict=True)]
+            out = [similarity(parsed(a, x), parsed(c, y), plain) for a, c, x, y in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
     both = pairs.join(one.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.mapInArrow(task, "a binary, b binary, similarity double").where(F.col("similarity") >= SIMILARITY).distinct(), "links")
 
 
-def similarities(left: list[str], right: list[str], sketch: Sketch) -> np.ndarray:
+def similarities(left: list[str], right: list[str], sketch: Sketch, plain: bool = True) -> np.ndarray:
     """`similarity` of every text of one list to every text of the other.
 
     A shingle that a text has tf times is tf units of its idf, so what two texts have in common is a product of matrices of units.
@@ -274,7 +294,7 @@ def similarities(left: list[str], right: list[str], sketch: Sketch) -> np.ndarra
     both = (on_left & on_right)[column]
     unit, row, column = unit[both], row[both], np.unique(column[both], return_inverse=True)[1]
     idf, first = sketch.idf(unit[:, 0]), unit[:, 1] == 0
-    common, plain = (np.zeros((len(left), len(right))) for _ in range(2))
+    common, shared = (np.zeros((len(left), len(right))) for _ in range(2))
     starts = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 if column.size else 0, COLUMNS))
     for at, end in zip(starts, [*starts[1:], column.size], strict=True):
         c, r, f = column[at:end] - column[at], row[at:end], first[at:end]
@@ -284,9 +304,11 @@ def similarities(left: list[str], right: list[str], sketch: Sketch) -> np.ndarra
         weight[c], distinct[c] = idf[at:end], f
         a, b = has[: len(left)], has[len(left) :].T
         common += (a * weight) @ b
-        plain += (a * distinct) @ b
+        if plain:
+            shared += (a * distinct) @ b
     split = len(left)
-    return np.maximum(common / (totals[:split, None] + totals[None, split:] - common), plain / (sizes[:split, None] + sizes[None, split:] - plain))
+    both = common / (totals[:split, None] + totals[None, split:] - common)
+    return np.maximum(both, shared / (sizes[:split, None] + sizes[None, split:] - shared)) if plain else both
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -304,7 +326,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def compared(one: DataFrame, large: DataFrame, sketch: Sketch) -> DataFrame:
+def compared(one: DataFrame, large: DataFrame, sketch: Sketch, plain: bool = True) -> DataFrame:
     """Of all pairs that share a large bucket: v, null, number of links; and v, other, 0 of a forest that spans the links.
 
     Every pair is compared once: in the one grid of its buckets, or in the first bucket it shares.
@@ -318,9 +340,9 @@ def compared(one: DataFrame, large: DataFrame, sketch: Sketch) -> DataFrame:
         cols = group.to_pydict()
         p, q, band = cols["p"][0], cols["q"][0], cols["band"][0]
         blocks = [[i for i, x in enumerate(cols["block"]) if x == side] for side in (p, q)]
-        keys = [np.array([cols["keys"][i] for i in x], np.int64).reshape(-1, BANDS) for x in blocks]
+        keys = [np.array([cols["keys"][i] for i in x], np.int64).reshape(-1, BANDS + PLAIN) for x in blocks]
         wanted = np.zeros((len(blocks[0]), len(blocks[1])), bool)
-        for i in range(BANDS) if band is None else range(band):
+        for i in range(BANDS + PLAIN) if band is None else range(band):
             wanted |= (keys[0][:, i, None] == keys[1][None, :, i]) & (keys[0][:, i, None] != 0)
         if band is not None:
             wanted = ~wanted
@@ -330,7 +352,7 @@ def compared(one: DataFrame, large: DataFrame, sketch: Sketch) -> DataFrame:
         out: list[tuple[bytes, bytes | None, int]] = []
         if at.size:
             left, right = [blocks[0][i] for i in at], [blocks[1][i] for i in to]
-            linked = wanted[np.ix_(at, to)] & (similarities([cols["text"][i] for i in left], [cols["text"][i] for i in right], cache[0]) >= SIMILARITY)
+            linked = wanted[np.ix_(at, to)] & (similarities([cols["text"][i] for i in left], [cols["text"][i] for i in right], cache[0], plain) >= SIMILARITY)
             members = sorted({*left, *right})
             place = {x: i for i, x in enumerate(members)}
             whole = np.zeros((len(members), len(members)), bool)
@@ -342,7 +364,7 @@ def compared(one: DataFrame, large: DataFrame, sketch: Sketch) -> DataFrame:
 
     least = large.groupBy("key").agg(F.min("v").alias("b"))
     roots = components(large.join(least, "key").select(F.col("v").alias("a"), "b"))
-    at_band = [F.coalesce(F.max(F.when(F.col("band") == i, F.col("key"))), F.lit(0)) for i in range(BANDS)]
+    at_band = [F.coalesce(F.max(F.when(F.col("band") == i, F.col("key"))), F.lit(0)) for i in range(BANDS + PLAIN)]
     texts = written(large.groupBy("v").agg(F.array(*at_band).alias("keys"), F.sum("n").alias("cost")).join(roots, "v"), "held")
     cost = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
     texts = texts.drop("cost").join(cost.select("root", (F.col("n") * F.col("n") <= F.col("cost")).alias("together")), "root").join(one, "v")
@@ -355,30 +377,42 @@ def compared(one: DataFrame, large: DataFrame, sketch: Sketch) -> DataFrame:
     return written(grid.groupBy("cell", "p", "q").applyInArrow(task, "v binary, other binary, n long"), "compared")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, v of every document; v, class_id, n_links of every text that has words)."""
+def vertex(doc_id: Column, digest: Column) -> Column:
+    """25 bytes that sort like doc_id (null last), then digest: the least of a class tells its class id."""
+    place = F.unhex(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.when(doc_id.isNull(), F.concat(F.unhex(F.lit("01" + "00" * 8)), digest)).otherwise(F.concat(F.unhex(F.lit("00")), place, digest))
+
+
+def vertex_id(v: Column) -> Column:
+    """The doc_id of a vertex."""
+    return F.when(F.hex(F.substring(v, 1, 1)) == "00", F.conv(F.hex(F.substring(v, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63))))
+
+
+def classes(docs: DataFrame, plain: bool = True) -> DataFrame:
+    """v (digest), class_id, n_links of every text that has words."""
     sketch = document_frequencies(docs)
     signed = written(signatures(docs, sketch), "signatures")
-    texts = written(signed.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "distinct")
-    pairs, large = candidates(texts.select("v", "sig"))
+    texts = signed.groupBy(F.col("v").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"))
+    texts = written(texts.select(vertex(F.col("doc_id"), F.col("digest")).alias("v"), "doc_id", "sig"), "distinct")
+    pairs, large = candidates(texts.select("v", "sig"), plain)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("v"))
     one = first_texts(docs, texts, keys if large is None else keys.union(large.select("v")))
-    found = links(one, pairs, sketch)
+    found = links(one, pairs, sketch, plain)
     edges, counts = found.select("a", "b"), found.select(F.explode(F.array("a", "b")).alias("v"), F.lit(1).cast("long").alias("n"))
     if large is not None:
-        more = compared(one, large, sketch)
+        more = compared(one, large, sketch, plain)
         edges = edges.union(more.where("other IS NOT NULL").select("v", "other"))
         counts = counts.union(more.where("other IS NULL").select("v", "n"))
     roots = components(edges)
     degree = counts.groupBy("v").agg(F.sum("n").alias("n_links"))
-    own = texts.select("v", "doc_id").join(roots, "v", "left").join(degree, "v", "left").select("v", "doc_id", F.coalesce("root", "v").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = own.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return signed.select("doc_id", "v"), written(own.join(least, "root").select("v", "class_id", "n_links"), "classes")
+    own = texts.select("v").join(roots, "v", "left").join(degree, "v", "left")
+    # the root is the least vertex of its class, so the class id needs no join by root
+    return written(own.select(F.substring("v", -16, 16).alias("v"), vertex_id(F.coalesce("root", "v")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, plain: bool = True) -> DataFrame:
     """One row per document: its class, the number of other texts that its text is linked to, and whether it is the class's first document."""
-    _, found = classes(docs)
+    found = classes(docs, plain)
     keyed = docs.select("doc_id", text_key().alias("v"))
     out = keyed.join(found, "v", "left").select("doc_id", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
@@ -387,9 +421,9 @@ def report(docs: DataFrame) -> DataFrame:
 P = "__qm_"
 
 
-def drop(docs: DataFrame) -> DataFrame:
+def drop(docs: DataFrame, plain: bool = True) -> DataFrame:
     """docs with one row of each class: that of the least doc_id. Texts without words stay."""
-    _, found = classes(docs)
+    found = classes(docs, plain)
     rows = docs.withColumn(P + "v", text_key()).join(found.select(F.col("v").alias(P + "v"), F.col("class_id").alias(P + "class")), P + "v", "left")
     alone = F.col(P + "v").isNull()
     first = rows.where(alone | F.col("doc_id").eqNullSafe(F.col(P + "class")))
