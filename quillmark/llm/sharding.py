@@ -3,36 +3,37 @@
 Groups (equal texts) are indivisible. They are taken from the largest to the
 smallest, and each enters the bin with the tightest remaining capacity that
 holds it; the bin is found in a balanced tree over remaining capacities.
-`fixed_bins` looks by bisection for the least capacity that needs no more than
+`fixed_bins` looks for a capacity, least but for a share of TOLERANCE, that needs no more than
 a given number of bins, so that bin sizes come out near equal.
 
-At any number of documents, what the driver packs is bounded: a group of more
-than 1/n of all bytes is packed by itself (there are fewer than n of
-them), and all others are packed as n chunks by hash. n is CHUNKS, and with a fixed
-capacity at least FINE for each capacity that the bytes fill, more while any chunk is above
-FINEST of the capacity. So both tables are bounded by CHUNKS or by the
-number of shards; they are broadcast, so documents are not shuffled to find their
-shard. Slots are numbered in (shard, hash of doc_id) parts whose number follows the
-input, and each part starts where the counts of earlier parts end.
+Every group is packed, and the driver holds no group. Best fit puts groups of one size into the same bin
+until it is full, so it is run on sizes and their numbers of groups: one step for each size and bin, with the same
+outcome as group by group. Sizes are rounded up to 1 + BITS binary digits (sizes below 2 ** (1 + BITS) are exact, others at most
+1/2048 too large, and never above the capacity if the group is not), so there are at most 2 ** BITS * 64 sizes at any number of documents.
+Groups of a size are numbered in parts by hash, and a number tells the bin by the table of steps (size, numbers, bin, groups in each of
+consecutive bins); that has about as many rows as sizes and shards together, and is broadcast only up to BROADCAST_STEPS.
+
+Documents get their group's shard by a join on a hash of the text, groups of many copies by a broadcast of their own, as
+there are fewer than HOT_SHARE of them. Slots are numbered in (shard, hash of the row and a salt) parts whose number
+follows the input, and each part starts where the counts of earlier parts end.
 
 Nulls and odd input: a null text has size 1 and forms one group with other null
 texts, apart from the empty text; its checksum is 0. A null doc_id is hashed as
-null. Repeated rows share a group, so also a shard, and get slots of their own. An
+null. Repeated rows share a group, so also a shard, and get slots of their own. Extra columns are not looked at. An
 empty table gives no rows. A group larger than a bin fills that bin alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.session import written
 
-CHUNKS = 4096
-#: Chunks for each shard of a fixed capacity, and the share of the capacity that no chunk exceeds.
-FINE, FINEST = 64, 0.125
-#: Rows that one task numbers, about.
-PART_ROWS = 50_000
+#: Binary digits of a size after the first, and the share of the least capacity that `fixed_bins` may miss it by.
+BITS, TOLERANCE = 11, 1 / 8192
+#: Rows that one task numbers, about; a group of more than 1/HOT_SHARE of all rows is hot; steps that are broadcast at most.
+PART_ROWS, HOT_SHARE, BROADCAST_STEPS = 50_000, 4096, 500_000
 
 
 class Remaining:
@@ -117,35 +118,73 @@ class Remaining:
         return t
 
 
-def best_fit_decreasing(sizes: dict, capacity: int) -> tuple[dict, int]:
-    """({item: bin}, bins opened); an item above the capacity gets a bin of its own. Ties go by item."""
-    tree, placed, bins = Remaining(), {}, 0
-    for item in sorted(sizes, key=lambda x: (-sizes[x], x)):
-        size = sizes[item]
-        found = tree.take(size)
-        if found is None:
-            found, bins = (max(capacity, size), bins), bins + 1
-        placed[item] = found[1]
-        if found[0] > size:
-            tree.insert((found[0] - size, found[1]))
-    return placed, bins
-
-
-def fixed_bins(sizes: dict, bins: int) -> dict:
-    """{item: bin} from the least capacity at which best fit decreasing opens at most `bins` bins."""
-    if not sizes:
-        return {}
-    low = max(max(sizes.values()), -(-sum(sizes.values()) // bins))
-    high = low + max(sizes.values()) + 1
-    while best_fit_decreasing(sizes, high)[1] > bins:
-        high += high - low
-    while low < high:
+def best_fit_decreasing(counts: dict[int, int], capacity: int, most: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Steps (size, first, end, bin, each) and the number of bins: of the groups of a size, number i goes to bin + (i - first) // each.
+
+    counts gives the number of groups of each size. A group above the capacity gets a bin of its own. Ends early once it needs more than `most` bins.
+    """
+    tree, steps, bins = Remaining(), [], 0
+    for size in sorted(counts, reverse=True):
+        at, n = 0, counts[size]
+        while at < n:
+            found = tree.take(size)
+            if found is None:
+                break
+            k = min(n - at, found[0] // size)
+            steps.append((size, at, at + k, found[1], k))
+            at += k
+            if found[0] > k * size:
+                tree.insert((found[0] - k * size, found[1]))
+        if at < n:
+            each = max(1, capacity // size)
+            steps.append((size, at, n, bins, each))
+            opened = -(-(n - at) // each)
+            if most is not None and bins + opened > most:
+                return steps, bins + opened
+            for b in range(bins, bins + opened):
+                left = capacity - size * min(each, n - at - (b - bins) * each)
+                if left > 0:
+                    tree.insert((left, b))
+            bins += opened
+    return steps, bins
+
+
+def fixed_bins(counts: dict[int, int], bins: int) -> list[tuple[int, int, int, int, int]]:
+    """Steps at a capacity that needs at most `bins` bins."""
+    if not counts:
+        return []
+    total = sum(k * n for k, n in counts.items())
+    low = max(max(counts), -(-total // bins))
+    width = max(1, int(low * TOLERANCE))
+    # at most the largest group above an even share is always enough
+    found, high, step = best_fit_decreasing(counts, low, bins), low, width
+    while found[1] > bins:
+        low, high, step = high, high + step, 2 * step
+        found = best_fit_decreasing(counts, high, bins)
+    while high - low > width:
         middle = (low + high) // 2
-        if best_fit_decreasing(sizes, middle)[1] <= bins:
-            high = middle
+        tried = best_fit_decreasing(counts, middle, bins)
+        if tried[1] <= bins:
+            found, high = tried, middle
         else:
-            low = middle + 1
-    return best_fit_decreasing(sizes, high)[0]
+            low = middle
+    return found[0]
+
+
+def rounded(size: Column, capacity: int | None = None) -> Column:
+    """The size rounded up to 1 + BITS binary digits, but not across the capacity."""
+    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size.cast("double"))) - BITS, F.lit(0))).cast("long")
+    up = size + F.pmod(-size, unit)
+    return up if capacity is None else F.when(size <= capacity, F.least(up, F.lit(capacity))).otherwise(up)
+
+
+def in_order(rows: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """rows (written, with a column part) with their number from 0 in each of the groups, in order of part, then order; no task holds more than a part of a group."""
+    inside = Window.partitionBy(*groups, "part").orderBy(*order)
+    counts = rows.groupBy(*groups, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*groups, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows.withColumn("own", F.row_number().over(inside) - 1).join(starts, [*groups, "part"]).withColumn(name, F.col("start") + F.col("own")).drop("part", "own", "start")
 
 
 def assign(docs: DataFrame, bins: int | None = 8, capacity: int | None = None) -> DataFrame:
@@ -158,45 +197,32 @@ def assign(docs: DataFrame, bins: int | None = 8, capacity: int | None = None) -
         F.xxhash64(F.col("text").isNull(), text).alias("g"),
     )
     rows = written(rows, "sized")
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    if capacity is not None:
-        groups = written(groups, "groups")
-    n = CHUNKS if capacity is None else max(CHUNKS, -(-FINE * total // capacity))
-    while True:
-        by_hash = F.pmod(F.col("g"), F.lit(n).cast("long"))
-        rest = groups.where(F.col("bytes") * n <= F.lit(total)).groupBy(by_hash.alias("c")).agg(F.sum("bytes").alias("bytes"))
-        if capacity is None:
-            break
-        rest = written(rest, "chunks")
-        if (rest.agg(F.max("bytes")).first()[0] or 0) <= max(1, FINEST * capacity):
-            break
-        n *= 2
-    large = written(groups.where(F.col("bytes") * n > F.lit(total)), "large")
-    alone = {("g", r.g): r.bytes for r in large.collect()}  # fewer than n
-    chunks = {("c", r.c): r.bytes for r in rest.collect()}  # at most n
-    placed = fixed_bins(alone | chunks, bins) if capacity is None else best_fit_decreasing(alone | chunks, capacity)[0]
-    spark = docs.sparkSession
-    by_group = spark.createDataFrame([(k, b) for (kind, k), b in placed.items() if kind == "g"], "g long, own int")
-    by_chunk = spark.createDataFrame([(k, b) for (kind, k), b in placed.items() if kind == "c"], "c long, common int")
-    return (
-        rows.join(F.broadcast(by_group), "g", "left")
-        .withColumn("c", by_hash)
-        .join(F.broadcast(by_chunk), "c", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own", "common").alias("shard"))
-    )
+    n_rows = rows.count()
+    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies"))
+    # g is a hash, so a part by its value is a part by chance
+    parts = max(1, n_rows // PART_ROWS)
+    groups = written(groups.select("g", "copies", rounded(F.col("bytes"), capacity).alias("bytes"), F.pmod(F.col("g"), F.lit(parts)).cast("int").alias("part")), "groups")
+    counts = {r.bytes: r.n for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # at most 2 ** BITS * 64
+    steps = fixed_bins(counts, bins) if capacity is None else best_fit_decreasing(counts, capacity)[0]
+    table = docs.sparkSession.createDataFrame(steps, "bytes long, first long, end long, bin int, each long")
+    if len(steps) <= BROADCAST_STEPS:
+        table = F.broadcast(table)
+    placed = in_order(groups, ["bytes"], ["g"], "number").join(table, "bytes").where("number >= first AND number < end")
+    placed = written(placed.select("g", "copies", (F.col("bin") + F.floor((F.col("number") - F.col("first")) / F.col("each"))).cast("int").alias("shard")), "placed")
+    hot = F.col("copies") * HOT_SHARE > n_rows
+    by_copy = F.broadcast(placed.where(hot).select("g", F.col("shard").alias("own")))  # fewer than HOT_SHARE rows
+    found = rows.join(by_copy, "g", "left")
+    some = found.where("own IS NULL").drop("own").join(placed.where(~hot).select("g", "shard"), "g")
+    return found.where("own IS NOT NULL").withColumnRenamed("own", "shard").unionByName(some).select("doc_id", "size", "text_crc32", "shard")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows with slot, gapless from 0 in each shard, without a task that holds a whole shard."""
-    rows = written(rows, "sharded")
+    """rows with slot, gapless from 0 in each shard, without a task that holds a whole shard, nor all rows of one doc_id."""
+    # written with their parts: equal rows may swap their slots in another run, but not within one
+    rows = written(rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")), "sharded")
     parts = max(1, rows.count() // PART_ROWS)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")
-    counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return rows.withColumn("own", F.row_number().over(inside) - 1).join(starts, ["shard", "part"]).withColumn("slot", F.col("start") + F.col("own")).drop("part", "own", "start")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "salt"), F.lit(parts))).drop("salt")
+    return in_order(rows, ["shard"], ["doc_id", "size", "text_crc32"], "slot")
 
 
 def report(docs: DataFrame, bins: int = 8) -> DataFrame:
