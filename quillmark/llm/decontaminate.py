@@ -3,8 +3,8 @@
 A seed is MIN_MATCH consecutive words shared by a document and a benchmark item.
 For pairs with enough seeds to reach the threshold, tiles are laid: with search lengths from long
 to short, Karp-Rabin hashes of all unmarked runs of that length are compared, matches are
-extended to their maximum, and the longest are marked first; marked words
-belong to one tile on either side. The share of an item's words under tiles is
+extended to their maximum, and the longest are marked first; what a mark leaves of a match waits for
+its turn by its length. Marked words belong to one tile on either side. The share of an item's words under tiles is
 its coverage, in whatever order its passages appear. A document of coverage at
 least THRESHOLD leaks the item.
 
@@ -13,9 +13,10 @@ tasks in blocks of at most BLOCK_SEEDS seeds (about 60 MB), one pass over the
 documents for each block, so a benchmark of any size is held against all documents.
 Words are runs of letters and digits in lower case.
 
-Nulls and odd input: null texts have no words; items under MIN_MATCH words have no
-seeds and are never found. Items without id are reported with null. Repeated
-documents are judged alike; of repeated items each row is an item. Whole texts of any length are searched.
+Nulls and odd input: null texts have no words. Items under MIN_MATCH words have no seed, as nearly every document holds
+some such words, and cannot be searched; `unsearched` lists them. Items without id are reported with null. Repeated
+documents are judged alike; of repeated items each row is an item. Whole texts of any length are searched. Extra columns
+pass through `drop`; empty tables give no leaks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -51,43 +53,43 @@ def _runs(marked: np.ndarray, n: int) -> np.ndarray:
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """(place in doc, place in item, length) of tiles, laid greedily from the longest."""
-    free_doc, free_item = np.zeros(doc.size, bool), np.zeros(item.size, bool)
+    """(place in doc, place in item, length) of tiles: always the longest match of unmarked words next, of equals the first in doc, then in item."""
+    free_doc, free_item = np.zeros(doc.size, bool), np.zeros(item.size, bool)  # True where marked
     out: list[tuple[int, int, int]] = []
     for n in [x for x in LENGTHS if x > least] + [least]:
-        while True:
-            in_doc, in_item = _runs(free_doc, n), _runs(free_item, n)
-            if not in_doc.size or not in_item.size:
-                break
-            by_item = rolling(item, n)[in_item]
-            order = np.argsort(by_item, kind="stable")
-            by_item, in_item = by_item[order], in_item[order]
-            by_doc = rolling(doc, n)[in_doc]
-            low, high = np.searchsorted(by_item, by_doc), np.searchsorted(by_item, by_doc, "right")
-            hit = np.flatnonzero(high > low)
-            found: set[tuple[int, int, int]] = set()
-            for k in hit:
-                p = int(in_doc[k])
-                for t in in_item[low[k] : high[k]]:
-                    t, a = int(t), 0
-                    while p - a > 0 and t - a > 0 and not free_doc[p - a - 1] and not free_item[t - a - 1] and doc[p - a - 1] == item[t - a - 1]:
-                        a += 1
-                    if a:  # its first run is found too
-                        continue
-                    e = n
-                    while p + e < doc.size and t + e < item.size and not free_doc[p + e] and not free_item[t + e] and doc[p + e] == item[t + e]:
-                        e += 1
-                    found.add((-e, p, t))
-            laid = False
-            for e, p, t in sorted(found):
-                e = -e
-                if not free_doc[p : p + e].any() and not free_item[t : t + e].any():
-                    free_doc[p : p + e] = True
-                    free_item[t : t + e] = True
-                    out.append((p, t, e))
-                    laid = True
-            if not laid:
-                break
+        # all matches of n words and more; shorter ones are left to the next search length
+        in_doc, in_item = _runs(free_doc, n), _runs(free_item, n)
+        if not in_doc.size or not in_item.size:
+            continue
+        by_item = rolling(item, n)[in_item]
+        order = np.argsort(by_item, kind="stable")
+        by_item, in_item = by_item[order], in_item[order]
+        by_doc = rolling(doc, n)[in_doc]
+        low, high = np.searchsorted(by_item, by_doc), np.searchsorted(by_item, by_doc, "right")
+        queue: list[tuple[int, int, int]] = []
+        for k in np.flatnonzero(high > low):
+            p = int(in_doc[k])
+            for t in in_item[low[k] : high[k]].tolist():
+                if p and t and not free_doc[p - 1] and not free_item[t - 1] and doc[p - 1] == item[t - 1]:
+                    continue  # the run before it is found too
+                e = n
+                while p + e < doc.size and t + e < item.size and not free_doc[p + e] and not free_item[t + e] and doc[p + e] == item[t + e]:
+                    e += 1
+                queue.append((-e, p, t))
+        heapify(queue)
+        while queue:
+            e, p, t = heappop(queue)
+            marked = free_doc[p : p - e] | free_item[t : t - e]
+            if not marked.any():
+                free_doc[p : p - e] = True
+                free_item[t : t - e] = True
+                out.append((p, t, -e))
+                continue
+            # what is left of it on both sides of marked words waits for its turn
+            edges = np.flatnonzero(np.diff(np.concatenate(([1], marked, [1]))))
+            for s, end in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
+                if end - s >= n:
+                    heappush(queue, (s - end, p + s, t + s))
     return sorted(out)
 
 
@@ -101,6 +103,9 @@ class Seeds:
         every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(every, kind="stable")
         self.grams, self.owner = every[order], owner[order]
+        # a shared seed covers MIN_MATCH words at most; an item can repeat a seed
+        self.sizes = np.array([x.size for _, x in items])
+        self.repeats = self.sizes - MIN_MATCH + 1 - np.array([g.size for g in grams])
 
     def leaks(self, doc: np.ndarray, threshold: float) -> Iterator[tuple[int | None, float, list]]:
         own = np.unique(rolling(doc, MIN_MATCH))
@@ -108,16 +113,14 @@ class Seeds:
         hit = high > low
         if not hit.any():
             return
-        counts: dict[int, int] = {}
-        for a, b in zip(low[hit], high[hit], strict=True):
-            for k in self.owner[a:b]:
-                counts[int(k)] = counts.get(int(k), 0) + 1
-        for k, shared in sorted(counts.items()):
-            name, item = self.items[k]
-            # a shared seed covers MIN_MATCH words at most; an item can repeat a seed
-            repeats = item.size - MIN_MATCH + 1 - np.unique(rolling(item, MIN_MATCH)).size
-            if (shared + repeats) * MIN_MATCH < threshold * item.size:
+        # the items of all hits at once: a passage of every item costs one count for each, not a step
+        n = high[hit] - low[hit]
+        places = np.repeat(low[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        counts = np.bincount(self.owner[places], minlength=len(self.items))
+        for k in np.flatnonzero((counts + self.repeats) * MIN_MATCH >= threshold * self.sizes).tolist():
+            if not counts[k]:
                 continue
+            name, item = self.items[k]
             laid = tiles(doc, item)
             coverage = sum(x[2] for x in laid) / item.size
             if coverage >= threshold:
@@ -142,6 +145,16 @@ def _blocks(benchmark: DataFrame) -> Iterator[Seeds]:
         yield Seeds(held)
 
 
+def unsearched(benchmark: DataFrame) -> DataFrame:
+    """item_id and n_words of the items that are too short to be searched."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array([tokens(x).size for x in b.column("text").to_pylist()], pa.int64())], ["item_id", "n_words"])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(task, "item_id long, n_words long").where(F.col("n_words") < MIN_MATCH)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The leaks: doc_id, item_id, coverage and tiles (places and lengths in words)."""
     spark = docs.sparkSession
@@ -170,9 +183,6 @@ def report(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], SCHEMA)
 
 
-P = "__qm_"
-
-
 def drop(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that leak no item, with all their columns; judged in place, so even rows without doc_id are."""
     spark = docs.sparkSession
