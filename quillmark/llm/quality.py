@@ -25,7 +25,7 @@ Nulls and odd input: a null text counts as empty. Empty texts have zero for
 every count and fail the base rules. Labels without doc_id or quality are
 left out, of several labels of a document the lowest counts. Repeated rows
 are judged alike, each for itself; without labels nothing beyond the base rules
-is rejected. Extra columns are passed through by `judge`.
+is rejected. Extra columns are passed through by `judge`, and may have the names of counts. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -176,7 +176,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The kept documents, with all their columns."""
-    cutoffs = certified_cutoffs(measured(docs), labels)
-    # a filter on a row number is not pushed below the counts; pushed there, their expressions would be copied into it again and again
-    counted = features(docs).withColumn(P + "row", F.monotonically_increasing_id())
-    return counted.where((F.col(P + "row") >= 0) & verdict(cutoffs)).select(*docs.columns)
+    # written once: the counts serve the cutoffs and the verdict, and no filter is pushed into their expressions
+    counted = written(features(docs), "quality")
+    return counted.where(verdict(certified_cutoffs(counted, labels))).select(*docs.columns)
