@@ -15,7 +15,8 @@ equi-joins whose hot keys are split, so a passage in every document lands in no
 
 Nulls and odd input: a null text has no words. A row without doc_id is neither smaller
 nor greater than any: it keeps all words and takes none. Rows that repeat a
-doc_id do not remove each other's words. Texts under WINDOW words stay whole.
+doc_id do not remove each other's words. Texts under WINDOW words stay whole. Extra columns are not looked at, and an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -122,18 +123,19 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("v"))
     scanned = written(docs.mapInArrow(_scan, "doc_id long, v binary, n_words long, whole_sha256 string, anchors array<long>"), "scanned")
-    first = scanned.groupBy("v").agg(F.min("doc_id").alias("first"))
+    # aggregates are written before they are joined, so that a join shuffles both its sides anew and adaptive execution can
+    # split hot keys; an aggregate right below a join forbids that
+    first = written(scanned.groupBy("v").agg(F.min("doc_id").alias("first")), "first")
     narrow = scanned.select("doc_id", "v", "n_words", "whole_sha256").join(first, "v")
     narrow = narrow.withColumn("copy", (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW))
     # the first document of each text, with its anchors
     own = scanned.where(F.size("anchors") > 0).join(first, "v").where("doc_id = first").select("doc_id", "v", "anchors").dropDuplicates(["doc_id", "v"])
     pieces = written(own.select("doc_id", "v", F.explode("anchors").alias("anchor")), "anchors")
-    shared = pieces.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = written(pieces.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared")
     wanted = pieces.join(shared, "anchor").groupBy("doc_id", "v").agg(F.collect_list("anchor").alias("shared"))
     wanted = wanted.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("v")) - 1)
     searched = written(docs.join(wanted, ["doc_id", "v"]), "searched")
-    windows = searched.select("doc_id", "text", "shared", "nth").mapInArrow(_windows, _WINDOW_SCHEMA)
-    # written, so that the join below shuffles both its sides anew and adaptive execution can split the hot keys; an aggregate right below a join forbids that
+    windows = written(searched.select("doc_id", "text", "shared", "nth").mapInArrow(_windows, _WINDOW_SCHEMA), "windows")
     least = written(windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low"), "least")
     hits = windows.join(least, ["h", "g"]).where("doc_id > low").select("doc_id", "at")
     cut = searched.select("doc_id", "nth", "v", "text").join(intervals(hits), ["doc_id", "nth"]).mapInArrow(_remove, "doc_id long, v binary, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "v"])
