@@ -4,7 +4,8 @@ Sizes are words. Sources, in code point order with null last, weigh 1, 2, 3,
 1, ... and share all words by weight; a target stops at `most` times its
 source's size and the excess is shared again by weight until none is above.
 That limit is target = min(most * size, level * weight) for the one level at
-which targets sum to all words, and the level is found in one ordered pass. A
+which targets sum to all words, and the level is found in one ordered pass, over ranges of the
+sources, so that there can be millions of them. A
 document is emitted floor(rate) times, and once more if a hash of its id, seen
 as a number in [0, 1), is below the fraction. Reruns agree.
 
@@ -36,22 +37,34 @@ def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each name, the sum of its column over all rows before in the order; parts are ranges of the order, so no task holds all rows.
+
+    What one task gets is one row for each part.
+    """
+    names = list(sums)
+    parts = written(rows.withColumns({"sum_" + k: c for k, c in sums.items()}).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("part").agg(*[F.sum("sum_" + k).alias("sum_" + k) for k in names])
+    starts = starts.select("part", *[F.coalesce(F.sum("sum_" + k).over(whole), F.lit(0)).alias("start_" + k) for k in names])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = [(F.coalesce(F.sum("sum_" + k).over(inside), F.lit(0)) + F.col("start_" + k)).alias(k) for k in names]
+    return parts.join(F.broadcast(starts), "part").select(*rows.columns, *own)
+
+
 def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     """source, source_size, target, rate from one row per source (source, source_size)."""
-    w = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(x)) for x in WEIGHTS]), (F.pmod(F.row_number().over(w) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("full", F.col("source_size") * F.lit(float(most)))
+    by_name = F.col("source").asc_nulls_last()
+    rows = before(sizes, [by_name], {"place": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in WEIGHTS]), (F.pmod("place", F.lit(len(WEIGHTS))) + 1).cast("int"))
+    rows = rows.withColumn("weight", weight).withColumn("full", F.col("source_size") * F.lit(float(most)))
     # in order of full / weight, the first sources stop at full; the level serves the rest
-    order = Window.orderBy(F.col("full") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy(F.lit(0))
-    rows = (
-        rows.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("left", F.col("total") - F.coalesce(F.sum("full").over(order), F.lit(0.0)))
-        .withColumn("heavy", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.col("heavy"))
-        # it rises while sources stop below it and falls afterwards, so the greatest is the one that holds
-        .withColumn("level", F.max("level").over(everything))
-    )
+    rows = before(rows.withColumn("ratio", F.col("full") / F.col("weight")), [F.col("ratio"), by_name], {"stopped": F.col("full"), "served": F.col("weight")})
+    totals = rows.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("heavy")).first()
+    total, heavy = totals["total"] or 0, totals["heavy"] or 0.0
+    # it rises while sources stop below it and falls afterwards, so the greatest is the one that holds
+    level = rows.agg(F.max((F.lit(total) - F.col("stopped")) / (F.lit(heavy) - F.col("served")))).first()[0]
+    rows = rows.withColumn("level", F.lit(level).cast("double"))
     target = F.when(F.col("source_size") > 0, F.least(F.col("full"), F.col("level") * F.col("weight"))).otherwise(F.lit(0.0))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     return rows.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
