@@ -52,33 +52,67 @@ def test_mixing_rows(spark):
     assert mixing.report(df.limit(0)).count() == 0
 
 
-def test_best_fit_and_slots(spark):
-    placed, n = sharding.best_fit_decreasing({"a": 5, "b": 4, "c": 3, "d": 2, "e": 9}, 7)
-    assert placed["e"] != placed["a"] == placed["d"] and placed["b"] == placed["c"] and n == 3
+def best_fit_by_hand(sizes, capacity):
+    """Group by group, the tightest bin found by looking at all; the groups' bins in order of size."""
+    left, out = [], []
+    for size in sorted(sizes, reverse=True):
+        fit = min((x for x in enumerate(left) if x[1] >= size), key=lambda x: (x[1], x[0]), default=None)
+        if fit is None:
+            left.append(max(capacity, size) - size)
+            out.append((size, len(left) - 1))
+        else:
+            left[fit[0]] -= size
+            out.append((size, fit[0]))
+    return sorted(out), len(left)
+
+
+def test_best_fit_on_sizes_is_that_on_groups():
     rng = random.Random(2)
-    sizes = {i: rng.randrange(1, 100) for i in range(500)}
-    loads = Counter()
-    for k, b in sharding.fixed_bins(sizes, 8).items():
-        loads[b] += sizes[k]
-    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 20
-    rows = sharding.report(table(spark, odd_rows())).collect()
-    assert sum(r.size for r in rows) == sum(len((t or "").encode()) + 1 for _, t, _, _ in odd_rows())
+    for k in range(60):
+        sizes = [rng.choice([rng.randrange(1, 100), 7, 13, 50]) for _ in range(rng.randrange(200))]
+        capacity = rng.choice([60, 100, 1000])
+        steps, n = sharding.best_fit_decreasing(Counter(sizes), capacity)
+        got = sorted((size, b + (i - first) // each) for size, first, end, b, each in steps for i in range(first, end))
+        assert (got, n) == best_fit_by_hand(sizes, capacity), k
+    for _ in range(20):
+        sizes = [rng.randrange(1, 100) for _ in range(500)]
+        loads = Counter()
+        for size, first, end, b, each in sharding.fixed_bins(Counter(sizes), 8):
+            for i in range(first, end):
+                loads[b + (i - first) // each] += size
+        assert len(loads) <= 8 and sum(loads.values()) == sum(sizes) and max(loads.values()) - min(loads.values()) <= 60
+
+
+def test_rounded_sizes(spark):
+    sizes = [1, 2, 3, 4095, 4096, 4097, 5000, 1 << 20, (1 << 20) + 1, 123_456_789, (1 << 40) + 12_345]
+    got = spark.createDataFrame([(x,) for x in sizes], "x long").select("x", sharding.rounded(F.col("x")).alias("up"), sharding.rounded(F.col("x"), 5000).alias("within")).collect()
+    assert all(r.x <= r.up <= r.x * (1 + 2**-11) and (r.up == r.x or r.x > 4096) and (r.within <= 5000) == (r.x <= 5000) for r in got)
+
+
+def test_shards_and_slots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 5)
+    every = odd_rows() + [(None, f"t{i % 5}", "en", "a") for i in range(40)] + [(7, "same", "en", "a")] * 30
+    rows = sharding.report(table(spark, every)).collect()
+    assert sorted(r.size for r in rows) == sorted(len((t or "").encode()) + 1 for _, t, _, _ in every)
     for s in {r.shard for r in rows}:
         own = sorted(r.slot for r in rows if r.shard == s)
         assert own == list(range(len(own))) and 0 <= s < 8
+    assert len({r.shard for r in rows if r.doc_id == 7 and r.size == 5}) == 1 and len({r.shard for r in rows if r.size == 3}) <= 5
     assert sharding.report(table(spark, odd_rows()).limit(0)).count() == 0
 
 
-def test_fixed_capacity_is_kept(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "CHUNKS", 8)
+def test_fixed_capacity_is_kept(spark):
     rng = random.Random(14)
-    sizes = {i: rng.randrange(20, 60) for i in range(600)}
-    rows = [(i, f"{i:05d}" + "x" * (n - 6), "en", "a") for i, n in sizes.items()]
-    loads = Counter()
-    for r in sharding.assign(table(spark, rows), capacity=200).collect():
-        loads[r.shard] += r.size
-    assert sum(loads.values()) == sum(sizes.values()) and max(loads.values()) <= 200
-    assert len(loads) == sharding.best_fit_decreasing(sizes, 200)[1]
+    for low, high, capacity in ((20, 60, 200), (8, 14, 40)):
+        sizes = {i: rng.randrange(low, high) for i in range(3000)}
+        rows = [(i, f"{i:05d}" + "x" * (n - 6), "en", "a") for i, n in sizes.items()]
+        loads = Counter()
+        for r in sharding.assign(table(spark, rows), capacity=capacity).collect():
+            loads[r.shard] += r.size
+        assert sum(loads.values()) == sum(sizes.values()) and max(loads.values()) <= capacity
+        assert len(loads) == best_fit_by_hand(list(sizes.values()), capacity)[1]
+    huge = [(1, "y" * 500, "en", "a"), (2, "z", "en", "a")]
+    assert len({r.shard for r in sharding.assign(table(spark, huge), capacity=100).collect()}) == 2
 
 
 def test_chat_round_trip(spark):
@@ -408,3 +442,130 @@ def test_html_of_random_pages(spark):
     got = htmltext.report(pages).collect()
     assert len(got) == len(rows) and all((r.text, r.n_chars) == (want[r.page_id], len(want[r.page_id])) for r in got), next((r.page_id, r.text, want[r.page_id]) for r in got if r.text != want[r.page_id])
     assert htmltext.report(pages.limit(0)).count() == 0
+
+
+def tiles_by_hand(doc, item, least):
+    """The longest match of unmarked words, again and again, by looking at all."""
+    marked_doc, marked_item, out = [False] * len(doc), [False] * len(item), []
+    while True:
+        best = None
+        for p in range(len(doc)):
+            for t in range(len(item)):
+                e = 0
+                while p + e < len(doc) and t + e < len(item) and not marked_doc[p + e] and not marked_item[t + e] and doc[p + e] == item[t + e]:
+                    e += 1
+                if e >= least and (best is None or (-e, p, t) < best):
+                    best = (-e, p, t)
+        if best is None:
+            return sorted(out)
+        e, p, t = -best[0], best[1], best[2]
+        marked_doc[p : p + e] = marked_item[t : t + e] = [True] * e
+        out.append((p, t, e))
+
+
+def test_tiles_are_those_of_the_textbook():
+    rng = random.Random(41)
+    for k in range(150):
+        words = rng.choice([2, 3, 6, 40])
+        item = [rng.randrange(words) for _ in range(rng.randrange(40))]
+        doc = [rng.randrange(words) for _ in range(rng.randrange(20))]
+        for _ in range(rng.randrange(4)):
+            a = rng.randrange(len(item) + 1)
+            doc += item[a : a + rng.randrange(30)] + [rng.randrange(words) for _ in range(rng.randrange(4))]
+        assert decontaminate.tiles(np.array(doc, np.uint64), np.array(item, np.uint64)) == tiles_by_hand(doc, item, decontaminate.MIN_MATCH), k
+
+
+def test_decontaminate_matches_brute_force(spark):
+    """Every document against every item by the textbook's tiles, with a passage that all items share and repeated rows."""
+    rng = random.Random(42)
+    common = prose(rng, 8, 10_000)
+    items = [(i, prose(rng, rng.randrange(1, 30), 10_000) + " " + common * (i % 2)) for i in range(30)] + [(3, "one two"), (99, common), (99, common)]
+    rows = []
+    for i in range(80):
+        parts = [prose(rng, rng.randrange(20), 10_000)]
+        for _ in range(rng.randrange(3)):
+            w = rng.choice(items)[1].split()
+            a, b = sorted((rng.randrange(len(w) + 1), rng.randrange(len(w) + 1)))
+            parts += [" ".join(w[b:] + ["x"] + w[a:b]), prose(rng, rng.randrange(5), 10_000)]
+        rows.append((i, " ".join(parts), "en", "a"))
+    rows += [rows[3], (None, items[0][1], None, None), (500, "", None, None), (501, None, None, None)]
+    want = []
+    for i, text, _, _ in rows:
+        for j, said in items:
+            w = said.lower().split()
+            covered = sum(x[2] for x in tiles_by_hand((text or "").lower().split(), w, decontaminate.MIN_MATCH))
+            if len(w) >= decontaminate.MIN_MATCH and covered >= decontaminate.THRESHOLD * len(w):
+                want.append((str(i), str(j), round(covered / len(w), 9)))
+    df, b = table(spark, rows), spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, doc_id string")
+    got = [(str(r.doc_id), str(r.item_id), round(r.coverage, 9)) for r in decontaminate.report(df, b).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+    leaking = {x[0] for x in want}
+    assert sorted(str(r.doc_id) for r in decontaminate.drop(df, b).collect()) == sorted(str(x[0]) for x in rows if str(x[0]) not in leaking)
+    assert decontaminate.drop(df, b).columns == df.columns and decontaminate.report(df.limit(0), b).count() == 0
+    assert {(r.item_id, r.n_words) for r in decontaminate.unsearched(b).collect()} == {(i, len(t.split())) for i, t in items if len(t.split()) < 5}
+
+
+def test_binomial_cdf_is_exact(spark):
+    import math
+
+    cases = [(k, n, p) for n in (1, 7, 60, 619, 5000) for k in sorted({0, 1, n // 100, n // 10, n}) if k <= n for p in (0.01,)]
+    df = spark.createDataFrame([(k, n) for k, n, _ in cases], "k long, n long")
+    got = {(r.k, r.n): r.c for r in df.select("k", "n", quality.binomial_cdf("k", "n", 0.01).alias("c")).collect()}
+    for k, n, p in cases:
+        want = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k + 1))
+        assert abs(got[k, n] - want) < 1e-8 * max(want, 1e-6), (k, n)
+
+
+def test_cutoffs_and_verdicts_of_thousands_of_labels(spark):
+    """Certified by an exact test of every cutoff from the loosest on, and applied by judge to all columns as they came."""
+    import math
+
+    rng = random.Random(43)
+    rows = []
+    for i in range(4000):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(60)] + ["#"] * rng.choice([0] * 150 + [2, 4, 8, 15, 40]) + ["ok!"] * rng.choice([0, 0, 1])
+        rows.append((i, " ".join(words), rng.choice(["en", "en", "de"]), "a"))
+    rows += [(5000 + 3 * i + k, " ".join(f"v{j}" for j in range(60)) + " #" * i, lang, "a") for i in range(0, 60, 5) for k, lang in enumerate(("en", "de", "xx"))]
+    rows += [(None, None, None, None), (6000, "", "en", "a"), rows[0]]
+    labels = spark.createDataFrame([(i, 1) for i in range(4000)] + [(1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    df = spark.createDataFrame([(*x, 7, "clash") for x in rows], "doc_id long, text string, lang string, source string, n_words long, kept string").repartition(3)
+    counted = quality.measured(df)
+    feats = [r.asDict() for r in counted.collect()]
+    ratio = {r: (lambda f, c=c: f["__qm_" + c] / max(1, f["__qm_n_words"])) for r, (c, _) in quality.RULES.items()}
+    level, want = quality.DELTA / ((len(quality.LANGUAGES) + 1) * len(quality.RULES)), {}
+    for stratum in ("en", "de"):
+        good = [f for f in feats if f["doc_id"] is not None and f["doc_id"] < 4000 and f["doc_id"] != 2 and f["__qm_stratum"] == stratum]
+        assert len(good) > 1000
+        for rule, (_, grid) in quality.RULES.items():
+            for cutoff in grid:
+                n, k = len(good), sum(ratio[rule](f) > cutoff for f in good)
+                if math.fsum(math.comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(k + 1)) > level:
+                    break
+                want[stratum, rule] = cutoff
+    got = quality.certified_cutoffs(counted, labels)
+    assert got == want and 0.05 < got["en", "symbols"] < 2
+    stays = [x for x, f in ((x, f) for x in rows for f in [next(f for f in feats if f["doc_id"] == x[0])]) if f["__qm_n_words"] >= 50 and not any(s == f["__qm_stratum"] and ratio[r](f) > c for (s, r), c in want.items())]
+    out = quality.judge(df, labels)
+    assert out.columns == df.columns and sorted((r.doc_id, r.text, r.n_words, r.kept) for r in out.collect()) == sorted((x[0], x[1], 7, "clash") for x in stays)
+    assert quality.judge(df.limit(0), labels).count() == 0 and quality.report(df, labels.limit(0)).where("kept AND base_failed").count() == 0
+
+
+def test_targets_over_ranges_of_many_sources(spark):
+    rng = random.Random(44)
+    sizes = [(f"s{i:05d}" if i else None, rng.choice([0, 1, 10, 1000, 100_000])) for i in range(3000)]
+    df = spark.createDataFrame(sizes, "source string, source_size long").repartition(4)
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    names = sorted((s for s, _ in sizes if s), key=str) + [None]
+    weight, own, total, capped = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}, dict(sizes), sum(n for _, n in sizes), {}
+    while True:
+        free = [s for s in own if s not in capped]
+        level = (total - sum(capped.values())) / sum(weight[s] for s in free) if free else 0
+        over = [s for s in free if level * weight[s] > 3 * own[s]]
+        if not over:
+            break
+        capped |= {s: 3 * own[s] for s in over}
+    assert all(abs(got[s] - capped.get(s, level * weight[s])) < 1e-6 * total for s in own) and abs(sum(got.values()) - total) < 1e-6 * total
+
+
+def test_substrings_of_an_empty_table(spark):
+    assert substrings.report(table(spark, odd_rows()).limit(0)).count() == 0
