@@ -1,12 +1,10 @@
 """Chat formatting by prefix-target expansion, in DataFrame and SQL operations only.
 
-Every assistant turn becomes an example of its own: all preceding turns are
-context, and only that reply is under the loss mask. Examples of a conversation
-share their beginnings, so an example stores what it adds (`delta`: the turns
-after the previous example's target, up to its own target) and the number of
-characters before it; `materialised` joins the deltas to whole texts. So storage grows
-with the conversations, not with the square of their turns. Turns after the
-last reply follow in a last example with an empty mask, so nothing is lost.
+Every assistant turn becomes an example of its own: the whole text of all preceding turns is its
+context, and only that reply is under the loss mask (loss_start, loss_end: code points of the example, end exclusive). Turns after the
+last reply follow in a last example with an empty mask, so nothing is lost. Examples
+hold their context in full, so together they grow with the square of a conversation's turns; they are exploded one by
+one, so a task holds one conversation and one example at a time.
 
 A turn is <|im_start|>role\\ntext<|im_end|>\\n. In roles and texts \\ is doubled,
 then <| becomes <\\|, so no control string can come from a text; a line end in a role
@@ -15,12 +13,12 @@ becomes <|nl|>. Read back, the steps are undone in the opposite order.
 Nulls and odd input: null texts and roles are empty; turns are ordered by turn (null
 first), then role and text, so ties and repeated rows have one order and all
 stay. Rows without conv_id form one conversation. A conversation must fit in a task's memory, as
-its examples do for training.
+its examples do for training. Extra columns are not looked at, and an empty table gives no examples.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END, LINE = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
@@ -40,81 +38,58 @@ def unescaped(text: Column) -> Column:
 
 
 def examples(turns: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id, example, prefix_chars, delta, loss_start, loss_end (offsets in the whole example)."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    role = F.replace(escaped(F.col("role")), _literal("\n"), _literal(LINE))
-    rows = rows.select("conv_id", "turn", "role", "text", F.concat(F.lit(START), role, F.lit("\n")).alias("head"), F.concat(escaped(F.col("text")), F.lit(END)).alias("body"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    target = F.col("role") == TARGET
-    chars = F.length("head") + F.length("body")
-    placed = rows.select(
-        "conv_id",
-        F.row_number().over(order).alias("place"),
-        F.coalesce(F.sum(target.cast("int")).over(before), F.lit(0)).alias("example"),
-        F.coalesce(F.sum(chars.cast("long")).over(before), F.lit(0)).alias("at"),
-        target.alias("target"),
-        "head",
-        "body",
-    )
-    # partitioned by conv_id already, so this does not shuffle again
-    own = placed.groupBy("conv_id", "example").agg(F.sort_array(F.collect_list(F.struct("place", "at", "target", "head", "body"))).alias("own"))
-    parts = own.select(
-        "conv_id",
-        "example",
-        F.col("own")[0]["at"].alias("prefix_chars"),
-        F.array_join(F.transform("own", lambda t: F.concat(t["head"], t["body"])), "").alias("delta"),
-        F.element_at("own", -1).alias("last"),
-    )
-    end = F.col("prefix_chars") + F.length("delta")
-    start = F.col("last.at") + F.length("last.head")
-    return parts.select(
-        "conv_id",
-        "example",
-        "prefix_chars",
-        "delta",
-        F.when(F.col("last.target"), start).otherwise(end).alias("loss_start"),
-        F.when(F.col("last.target"), end - len(END)).otherwise(end).alias("loss_end"),
-    )
+    """One row per assistant turn: conv_id, example (from 0), text, loss_start, loss_end."""
+    own = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    whole = turns.groupBy("conv_id").agg(own.alias("own"))
 
+    def formatted(t: Column) -> Column:
+        body = escaped(t["text"])
+        role = F.replace(escaped(t["role"]), _literal("\n"), _literal(LINE))
+        return F.struct((t["role"] == TARGET).alias("target"), F.length(body).alias("chars"), F.concat(F.lit(START), role, F.lit("\n"), body, F.lit(END)).alias("said"))
 
-def materialised(found: DataFrame) -> DataFrame:
-    """conv_id, example, whole text of the example, loss_start, loss_end."""
-    upto = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
-    return found.select("conv_id", "example", F.array_join(F.collect_list("delta").over(upto), "").alias("text"), "loss_start", "loss_end")
+    said = whole.select("conv_id", F.transform("own", formatted).alias("turns"))
+    # the last turn ends an example even if it is no reply
+    ends = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["target"] | (i == F.size("turns")))
+    each = said.select("conv_id", "turns", F.posexplode(ends).alias("example", "upto"))
+    last = F.element_at("turns", F.col("upto"))
+    rows = each.select("conv_id", "example", F.array_join(F.slice("turns", 1, F.col("upto"))["said"], "").alias("text"), last["target"].alias("target"), last["chars"].alias("chars"))
+    end = F.length("text") - F.when(F.col("target"), len(END)).otherwise(0)
+    return rows.select("conv_id", "example", "text", (end - F.when(F.col("target"), F.col("chars")).otherwise(0)).alias("loss_start"), end.alias("loss_end"))
 
 
-def read_back(found: DataFrame) -> DataFrame:
-    """found with the turns of each delta, parsed and unescaped, and the unescaped text under the loss mask."""
-    pieces = F.filter(F.split("delta", "<\\|im_start\\|>"), lambda x: x != "")
+def read_back(text: Column) -> Column:
+    """The turns (role, text) of an example's text, parsed and unescaped."""
+    pieces = F.filter(F.split(text, "<\\|im_start\\|>"), lambda x: x != "")
 
     def turn(piece: Column) -> Column:
         head = F.substring_index(piece, "\n", 1)
         body = F.substring(piece, F.length(head) + 2, F.length(piece) - F.length(head) - 1 - len(END))
         return F.struct(unescaped(F.replace(head, _literal(LINE), _literal("\n"))).alias("role"), unescaped(body).alias("text"))
 
-    loss = F.substring(F.col("delta"), (F.col("loss_start") - F.col("prefix_chars") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
-    return found.withColumn("turns", F.transform(pieces, turn)).withColumn("loss", unescaped(loss))
+    return F.transform(pieces, turn)
+
+
+def loss_text() -> Column:
+    """The unescaped text under the loss mask of an example."""
+    return unescaped(F.substring(F.col("text"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
 
 
 def report(turns: DataFrame) -> DataFrame:
-    """Digests of every conversation, from its examples as read back."""
-    back = read_back(examples(turns)).select(
-        "conv_id",
-        "example",
-        F.size("turns").cast("long").alias("n"),
-        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
-        "loss",
-        (F.col("prefix_chars") + F.length("delta")).alias("chars"),
+    """Digests of every conversation, read back from its examples: the turns from the last one, which holds all, the loss from each."""
+    back = examples(turns).select("conv_id", "example", "text", loss_text().alias("loss"))
+    whole = back.groupBy("conv_id").agg(
+        F.max_by("text", "example").alias("text"),
+        F.sum(F.length("text").cast("long")).alias("formatted_chars"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("example", "loss")))["loss"], "").alias("loss"),
     )
-    whole = back.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("example", "said", "loss"))).alias("own"))
-    loss = F.array_join("own.loss", "")
-    return whole.select(
+    rows = whole.withColumn("turns", read_back(F.col("text")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return rows.select(
         "conv_id",
-        "n_turns",
-        F.sha2(F.encode(F.array_join("own.said", ""), "UTF-8"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
 
