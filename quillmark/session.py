@@ -26,6 +26,17 @@ def build(app: str = "quillmark", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch that Python workers get, about; Spark's own default is 64 MB, which a worker holds several times over.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches by bytes, so that Python workers need the same memory for short and long texts; a limit that the user has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
