@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.textkit import hash_words, rolling
+from quillmark.session import bounded_batches
 
 MIN_MATCH, THRESHOLD = 5, 0.5
 BLOCK_SEEDS = 2_000_000
@@ -158,6 +159,7 @@ def unsearched(benchmark: DataFrame) -> DataFrame:
 def report(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The leaks: doc_id, item_id, coverage and tiles (places and lengths in words)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def against(seeds: Seeds) -> DataFrame:
@@ -186,6 +188,7 @@ def report(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 def drop(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that leak no item, with all their columns; judged in place, so even rows without doc_id are."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     for seeds in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(seeds)
 

@@ -33,6 +33,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmark.session import bounded_batches
+
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(script|style|noscript|template|textarea|iframe|svg|xmp|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
@@ -286,4 +288,5 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(pages: DataFrame) -> DataFrame:
     """page_id, url, text and its code points, of every page; nothing is shuffled."""
+    bounded_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

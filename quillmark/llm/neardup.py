@@ -45,12 +45,12 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.components import components
 from quillmark.llm.textkit import U, mix, shingles
-from quillmark.session import written
+from quillmark.session import bounded_batches, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, PLAIN, ROWS, SMALL = 16, 12, 3, 32
 #: Texts and characters of a block of a grid, about, and shingles that a block is compared by at a time.
-BLOCK, BLOCK_CHARS, COLUMNS = 512, 1 << 24, 4096
+BLOCK, BLOCK_CHARS, COLUMNS = 512, 1 << 22, 4096
 SKETCH_ROWS, SKETCH_BITS = 2, 18
 _K, _ALL = BANDS * ROWS, (BANDS + PLAIN) * ROWS
 _RNG = np.random.default_rng(20240131)
@@ -298,9 +298,9 @@ def similarities(left: list[str], right: list[str], sketch: Sketch, plain: bool
     starts = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 if column.size else 0, COLUMNS))
     for at, end in zip(starts, [*starts[1:], column.size], strict=True):
         c, r, f = column[at:end] - column[at], row[at:end], first[at:end]
-        has = np.zeros((len(left) + len(right), int(c[-1]) + 1))
+        has = np.zeros((len(left) + len(right), int(c[-1]) + 1), np.float32)
         has[r, c] = 1
-        weight, distinct = np.zeros(has.shape[1]), np.zeros(has.shape[1])
+        weight, distinct = np.zeros(has.shape[1], np.float32), np.zeros(has.shape[1], np.float32)
         weight[c], distinct[c] = idf[at:end], f
         a, b = has[: len(left)], has[len(left) :].T
         common += (a * weight) @ b
@@ -390,6 +390,7 @@ def vertex_id(v: Column) -> Column:
 
 def classes(docs: DataFrame, plain: bool = True) -> DataFrame:
     """v (digest), class_id, n_links of every text that has words."""
+    bounded_batches(docs.sparkSession)
     sketch = document_frequencies(docs)
     signed = written(signatures(docs, sketch), "signatures")
     texts = signed.groupBy(F.col("v").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.session import bounded_batches
+
 KINDS = ("assign", "access", "hex", "cnn")
 
 
@@ -370,6 +372,7 @@ def scan(texts: list[str], net: Network) -> list[tuple[list, list, int]]:
 def report(docs: DataFrame) -> DataFrame:
     """Counts, digest and spans of every document; nothing is shuffled."""
     net = trained()
+    bounded_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

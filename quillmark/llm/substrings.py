@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.textkit import BASES, hash_words, rolling, sliding_min, spans
-from quillmark.session import written
+from quillmark.session import bounded_batches, written
 
 WINDOW, ANCHOR = 50, 25
 PER_BATCH = 200_000
@@ -121,6 +121,7 @@ def intervals(hits: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("v"))
     scanned = written(docs.mapInArrow(_scan, "doc_id long, v binary, n_words long, whole_sha256 string, anchors array<long>"), "scanned")
     # aggregates are written before they are joined, so that a join shuffles both its sides anew and adaptive execution can

@@ -34,14 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.session import written
+from quillmark.session import bounded_batches, written
 
 END_ID = 0
 FILE_IDS = 1 << 20
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: Characters of text that are coded at a time, about.
-SLICE = 1 << 22
+SLICE = 1 << 21
 MAGIC = b"QEF2"
 #: New words that the tokenizer gets as one text.
 CHAIN = 256
@@ -269,6 +269,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
 def write_files(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the files; returns part, file, doc_ids, payload, n_ids as read from storage. Documents are shuffled once, by range of doc_id."""
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
