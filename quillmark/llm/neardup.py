@@ -229,7 +229,8 @@ def candidates(texts: DataFrame, plain: bool = True) -> tuple[DataFrame, DataFra
     texts has v and sig, one row per text.
     """
     keyed = texts.select("v", F.posexplode(F.array(*[F.xxhash64(F.lit(i), _band(i)) for i in range(BANDS + PLAIN if plain else BANDS)])).alias("band", "key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written before it is joined, so that the join shuffles both sides anew and can split hot buckets
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     members = written(keyed.join(sizes, "key").select("v", "band", "key", "n"), "buckets")
     found = _pairs(members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("vs"))).distinct()
     large = members.where(F.col("n") > SMALL)
@@ -362,7 +363,7 @@ def compared(one: DataFrame, large: DataFrame, sketch: Sketch, plain: bool = Tru
             out = [(v[i], None, int(n)) for i, n in enumerate(whole.sum(axis=1)) if n] + [(v[i], v[j], 0) for i, j in _forest(whole)]
         return pa.table({"v": pa.array([x[0] for x in out], pa.binary()), "other": pa.array([x[1] for x in out], pa.binary()), "n": pa.array([x[2] for x in out], pa.int64())})
 
-    least = large.groupBy("key").agg(F.min("v").alias("b"))
+    least = written(large.groupBy("key").agg(F.min("v").alias("b")), "least")
     roots = components(large.join(least, "key").select(F.col("v").alias("a"), "b"))
     at_band = [F.coalesce(F.max(F.when(F.col("band") == i, F.col("key"))), F.lit(0)) for i in range(BANDS + PLAIN)]
     texts = written(large.groupBy("v").agg(F.array(*at_band).alias("keys"), F.sum("n").alias("cost")).join(roots, "v"), "held")
