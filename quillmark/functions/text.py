@@ -25,8 +25,11 @@ def words(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by a space."""
-    last = F.size(tokens) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    last = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    out = F.slice(tokens, 1, last)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, k + 1, last), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def shingles(tokens: Column, largest: int = 2, stop_words: tuple[str, ...] = CLICK_STOP_WORDS) -> Column:

@@ -292,9 +292,21 @@ def removed_since(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataF
     return stored.join(batch.select(key), key, "left_anti")
 
 
+def string_hash(text: Column) -> Column:
+    """h = 31 h + c over the UTF-16 units of a text, modulo 2 ** 32, as an unsigned number."""
+    word = 1 << 32
+
+    def step(h: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        pair = (h * 31 + 0xD800 + F.shiftright(code - 0x10000, 10)) * 31 + 0xDC00 + (code - 0x10000).bitwiseAND(F.lit(1023))
+        return F.when(code < 0x10000, h * 31 + code).otherwise(pair) % word
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
+
+
 def shard(doc_id: Column, shards: int) -> Column:
-    """Shard by unsigned half of a 32-bit hash."""
-    return (F.shiftrightunsigned(F.hash(doc_id), 1) % shards).cast("int")
+    """Shard by the upper 31 bits of the id's string hash."""
+    return (F.shiftright(string_hash(doc_id), 1) % shards).cast("int")
 
 
 def change_feed(before: DataFrame, after: DataFrame, watched: tuple[str, ...] = ("text", "annotations", "fields"), key: tuple[str, ...] = ("collection", "id")) -> DataFrame:

@@ -82,8 +82,10 @@ def mean_reciprocal_rank(queries: DataFrame, clicks: DataFrame) -> DataFrame:
 def _top(counts: DataFrame, name: str, n: int) -> DataFrame:
     """The n most frequent of each key with the key's total; ties by name."""
     order = Window.partitionBy(*KEY).orderBy(F.col("count").desc(), F.col(name))
-    total = F.sum("count").over(Window.partitionBy(*KEY))
-    return counts.withColumn("rank", F.row_number().over(order)).withColumn("total", total).where(F.col("rank") <= n)
+    # totals are a sum of their own, so that each task keeps only its n best before the shuffle
+    totals = counts.groupBy(*KEY).agg(F.sum("count").alias("total"))
+    best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return best.join(totals, KEY)
 
 
 def query_counts(logs: DataFrame) -> DataFrame:

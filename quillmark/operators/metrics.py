@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.dates import calendar_field, calendar_to_epoch
@@ -91,8 +91,8 @@ def check_names(names: list[str]) -> list[str]:
 def modes(p: DataFrame, *keys: str, value: str = "value") -> DataFrame:
     """All most frequent values of each group, ascending."""
     counts = p.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    most = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return counts.withColumn("most", F.max("n").over(most)).where("n = most").groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("mode"))
+    most = counts.groupBy(*keys).agg(F.max("n").alias("n"))
+    return counts.join(most, [*keys, "n"]).groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("mode"))
 
 
 def aggregate(p: DataFrame, names: list[str], *keys: str, value: str = "value") -> DataFrame:

@@ -230,16 +230,38 @@ def project(df: DataFrame, names: list[str]) -> DataFrame:
     """*, category/*, category/name; names that df lacks raise."""
     if not names or names == ["*"]:
         return df
-    if bad := unsupported([x.removesuffix("/*") for x in names], df.schema):
+    plain = [temporal(x)[0] if temporal(x) else x.removesuffix("/*") for x in names]
+    if bad := unsupported(plain, df.schema):
         raise InvalidQuery(f"unsupported properties: {bad}")
-    return df.select(*[property_column(x.removesuffix("/*")).alias(x.removesuffix("/*")) for x in names])
+    return df.select(*[(_series(df.schema, *temporal(x)) if temporal(x) else property_column(p)).alias(p) for x, p in zip(names, plain, strict=True)])
+
+
+def _series(schema: T.StructType, name: str, start: int, end: int, step: int) -> Column:
+    """A property that maps times to numbers, from start to end (-1: open), averaged over steps (-1: as it is)."""
+    kind = _kind(name, schema)
+    if not isinstance(kind, T.MapType) or not isinstance(kind.valueType, T.NumericType):
+        raise InvalidQuery(f"{name!r} is no series, so it has no interval")
+    points = F.filter(F.map_entries(property_column(name)), lambda e: (e["key"] >= start) & ((e["key"] <= end) if end != -1 else F.lit(True)))
+    if step == -1:
+        return F.map_from_entries(points)
+
+    def at(e: Column) -> Column:
+        return F.floor((e["key"] - start) / step) * step + start
+
+    starts = F.array_distinct(F.transform(points, at))
+
+    def mean(x: Column) -> Column:
+        own = F.filter(points, lambda e: at(e) == x)
+        return F.aggregate(own, F.lit(0.0), lambda a, e: a + e["value"]) / F.size(own)
+
+    return F.map_from_arrays(starts, F.transform(starts, mean))
 
 
 def query(df: DataFrame, text: str, keys: dict | None = None) -> DataFrame:
     """Rows of df under a key predicate and a predicate string, with its fields."""
     if keys:
         df = df.where(reduce(Column.__and__, [F.col(k) == F.lit(v) for k, v in keys.items()]))
-    return project(df.where(predicate(text, df.schema)), [x if not temporal(x) else temporal(x)[0] for x in fields_of(text)])
+    return project(df.where(predicate(text, df.schema)), fields_of(text))
 
 
 class Builder:

@@ -1,8 +1,9 @@
 """The search language: parsed to a tree, compiled to a match column and a score column over token arrays.
 
-A table is prepared once (`indexed`): each text field gets its tokens. Clauses compile
+A table is prepared once (`indexed`): each text field gets its tokens, which are written, so that
+no query cuts texts into words again. Clauses compile
 to higher-order functions over them, so matching and scoring stay in one narrow scan with field filters
-pushed down. Document frequencies of the query's terms, which are few, come from one
+pushed down; a phrase or proximity is tried only on rows that hold its words. Document frequencies of the query's terms, which are few, come from one
 aggregate over the same scan.
 """
 
@@ -19,9 +20,10 @@ from pyspark.sql import types as T
 
 from quillmark.functions.dates import date_bounds
 from quillmark.functions.text import ENGLISH_STOP_WORDS, PLURALS, Synonyms, without_accents, words
+from quillmark.session import written
 
 #: Fixed limits: terms, generated terms, characters of a query.
-MAX_TERMS, MAX_GENERATED, MAX_QUERY = 20_000, 100_000, 65_536
+MAX_TERMS, MAX_GENERATED, MAX_QUERY, MAX_CLAUSES = 20_000, 100_000, 65_536, 100_000
 
 
 class SearchError(ValueError):
@@ -50,6 +52,9 @@ class Options:
     alternate: str = "*:*"
     at_least: str | None = None
     like_terms: int = 12
+    max_clauses: int = MAX_CLAUSES
+    span_fuzzy: bool = True
+    functions: dict[str, Column] = field(default_factory=dict)
 
 
 # ---- tree
@@ -214,8 +219,11 @@ class Parser:
                     self.state["least"] = self.peek()[1]
                     self.at += 1
                 elif low == "like":
+                    kind, word, close = self.peek()
+                    # a quoted text or a word that is no plain word, right after the colon, is the id of a document
+                    document = close and (kind == "quote" or kind == "word" and not word.isalpha())
                     arg = self.unit(name)
-                    return self.suffix(Node("like", parts=[arg], field=name)) if arg else None
+                    return self.suffix(Node("like", parts=[arg], field=name, op="document" if document else "")) if arg else None
                 elif low == "debuglog":
                     self.at += 1
                 return None
@@ -361,8 +369,11 @@ def tokens_of(c: Column) -> Column:
 
 
 def indexed(docs: DataFrame, *fields: str) -> DataFrame:
-    """docs with _t_<field>, the tokens of each text field."""
-    return docs.withColumns({f"_t_{f}": tokens_of(F.col(f)) for f in fields})
+    """docs with _t_<field>, the tokens of each text field, as a table written once; keep it for all queries.
+
+    Inlined into a query, the tokens would be made anew wherever a clause names them, even inside of lambdas.
+    """
+    return written(docs.withColumns({f"_t_{f}": tokens_of(F.col(f)) for f in fields}), "index")
 
 
 def _analyzed(text: str) -> list[str]:
@@ -432,14 +443,29 @@ class Compiler:
         return F.filter(F.transform(t, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
 
     def _freq(self, f: str, key: tuple, test) -> Column:
+        return self._counted(f, key, test)[1]
+
+    def _counted(self, f: str, key: tuple, test) -> tuple[Column, Column]:
+        """(occurs, frequency) of a term, noted for the statistics; whole words are looked up without a lambda."""
         out = F.size(F.filter(F.col(f"_t_{f}"), lambda x: F.coalesce(test(x), F.lit(False))))
-        self.terms[(f, str(key[0]), f"{key[1]}/{key[2]}")] = out > 0
-        return out
+        occurs = F.array_contains(f"_t_{f}", key[1]) if key[0] == "=" else out > 0
+        self.terms[(f, str(key[0]), f"{key[1]}/{key[2]}")] = occurs
+        return occurs, F.when(occurs, out).otherwise(0) if key[0] == "=" else out
+
+    def _required(self, node: Node, f: str) -> Column:
+        """Whether a row holds the whole words that a phrase or proximity cannot do without: cheap, so it goes first."""
+        if node.kind == "near":
+            return self._required(node.parts[0], f) & self._required(node.parts[1], f)
+        if node.kind == "bool":
+            return F.lit(True)
+        items = node.text.lower().split() if node.kind == "phrase" else self._words(node)
+        keys = [self._test(replace(node, fuzzy=None), w)[0] for w in items if re.fullmatch(r"[^\W_]+", w)] if node.fuzzy is None else []
+        return reduce(Column.__and__, [F.array_contains(f"_t_{f}", k[1]) for k in keys if k[0] == "="], F.lit(True))
 
-    def _phrase_places(self, f: str, node: Node, items: list[str]) -> Column:
-        """First places at which the words stand in order; * is any word; with slop each may move."""
+    def _phrase_places(self, f: str, node: Node, items: list[str], fuzzy: float | None = None) -> Column:
+        """First places at which the words (or words like them) stand in order; * is any word; with slop each may move."""
         t, slop = F.col(f"_t_{f}"), node.slop or 0
-        real = [(i, self._test(replace(node, fuzzy=None), w)[1]) for i, w in enumerate(items) if w != "*"]
+        real = [(i, self._test(replace(node, fuzzy=fuzzy), w)[1]) for i, w in enumerate(items) if w != "*"]
         first, lead = real[0]
 
         def fits(p: Column) -> Column:
@@ -473,17 +499,22 @@ class Compiler:
             return F.lit(False), F.lit(0)
         if len([x for x in items if x != "*"]) == 1 and (node.kind != "phrase" or len(items) == 1):
             word = next(x for x in items if x != "*")
-            variants = self._variants(node, word)
-            freq = reduce(lambda a, b: a + b, [self._freq(f, *self._test(node, w)) for w in variants])
-            return freq > 0, freq
+            found = [self._counted(f, *self._test(node, w)) for w in self._variants(node, word)]
+            return reduce(Column.__or__, [x for x, _ in found]), reduce(lambda a, b: a + b, [x for _, x in found])
         if node.fuzzy is not None:
             tests = [self._freq(f, *self._test(node, w)) for w in items]
-            return reduce(Column.__and__, [x > 0 for x in tests]), F.least(*tests)
+            every = reduce(Column.__and__, [x > 0 for x in tests])
+            if not self.o.span_fuzzy:
+                return every, F.least(*tests)
+            # next to each other and in order
+            places = F.size(self._phrase_places(f, replace(node, slop=0), items, node.fuzzy))
+            return every & (places > 0), F.when(every, places).otherwise(0)
         places = F.size(self._phrase_places(f, node, items))
         for w in items:
             if w != "*":
                 self._freq(f, *self._test(node, w))
-        return places > 0, places
+        first = self._required(replace(node, kind="phrase", text=" ".join(items)), f)
+        return first & (places > 0), F.when(first, places).otherwise(0)
 
     def _variants(self, node: Node, word: str) -> list[str]:
         use = self.o.expand if node.syn is None else node.syn
@@ -562,17 +593,30 @@ class Compiler:
             hit = reduce(Column.__or__, [F.coalesce(self._compare(f, node.op, node.text), F.lit(False)) for f in self.fields(node)])
             return hit, hit.cast("double") * node.boost
         if node.kind == "near":
-            freqs = [F.size(self._spans(node, f)) for f in self.fields(node)]
+            freqs = [F.when(self._required(node, f), F.size(self._spans(node, f))).otherwise(0) for f in self.fields(node)]
             hit = reduce(Column.__or__, [x > 0 for x in freqs])
             return hit, reduce(lambda a, b: a + b, [tf(x) for x in freqs]) * node.boost
+        if node.field == "_val_":
+            # a function of the row as score: it matches every row
+            name = node.text.strip()
+            value = self.o.functions.get(name)
+            if value is None:
+                if not isinstance(self.kinds.get(name), T.NumericType):
+                    raise SearchError(f"unknown function {name!r}")
+                value = F.col(name)
+            return F.lit(True), F.coalesce(value.cast("double"), F.lit(0.0)) * node.boost
         if node.kind == "like":
             inner = node.parts[0]
+            if inner.kind == "bool":  # a group: any of its parts is enough
+                return self.both(replace(inner, parts=[(o if o == "not" else "should", n) for o, n in inner.parts], boost=inner.boost * node.boost), stats)
             items = self._words(replace(inner, kind="phrase"))[: self.o.like_terms]
             return self.both(Node("bool", parts=[("should", Node("term", text=w, field=node.field or inner.field)) for w in items], boost=node.boost), stats)
         if node.kind == "term" and re.search(r"\w-\w", node.text) and not re.search(r"[*?]", node.text) and node.fuzzy is None:
             apart = Node("phrase", text=node.text.replace("-", " "), field=node.field, slop=0, stem=node.stem, syn=node.syn)
             return self.both(Node("bool", parts=[("should", apart), ("should", replace(node, text=node.text.replace("-", "")))], boost=node.boost), stats)
         hits, scores = [], []
+        if not self.fields(node):
+            raise SearchError("no field to search")
         for f in self.fields(node):
             before = set(self.terms)
             hit, freq = self._leaf(node, f)
@@ -588,6 +632,8 @@ class Compiler:
 
     def _bool(self, node: Node, stats) -> tuple[Column, Column]:
         must, should, hide, scores = [], [], [], []
+        if len(node.parts) > self.o.max_clauses:
+            raise SearchError("the query has too many clauses")
         for o, n in node.parts:
             hit, score = self.both(n, stats)
             if o == "not":
@@ -631,13 +677,33 @@ def matches(docs: DataFrame, text: str, options: Options | None = None) -> DataF
     return docs.where(c.match(parse(text, c.o)))
 
 
-def search(docs: DataFrame, text: str | Node, options: Options | None = None, filters: list[Column] | None = None, boost: Column | None = None) -> DataFrame:
-    """Matching rows of an indexed table with score; filters do not change scores, boost multiplies them.
+#: Fixed values of like: terms of a document, clauses, letters of a word at least.
+LIKE_DOCUMENT_TERMS, LIKE_CLAUSES, LIKE_LETTERS = 15, 20, 4
+
+
+def with_likes(docs: DataFrame, node: Node, key: str, options: Options) -> Node:
+    """The tree with like:<document> replaced by the interesting terms of that row, any of which is enough."""
+    if node.kind == "like" and node.op == "document":
+        name = node.field or options.fields[0]
+        row = docs.where(F.col(key).cast("string") == _unescape(node.parts[0].text))
+        long = row.withColumn(f"_t_{name}", F.filter(f"_t_{name}", lambda w: (F.length(w) >= LIKE_LETTERS) & ~w.isin(*options.stop_words)))
+        dfs = docs.select(key, F.col(f"_t_{name}"))
+        terms = interesting_terms(long, name, key, LIKE_DOCUMENT_TERMS, 1, 1, against=dfs).orderBy("rank").limit(LIKE_CLAUSES).collect()
+        return Node("bool", parts=[("should", Node("term", text=r["term"], field=name)) for r in terms], boost=node.boost)
+    if node.kind == "bool":
+        return replace(node, parts=[(o, with_likes(docs, n, key, options)) for o, n in node.parts])
+    return node
+
+
+def search(docs: DataFrame, text: str | Node, options: Options | None = None, filters: list[Column] | None = None, boost: Column | None = None, key: str | None = None) -> DataFrame:
+    """Matching rows of an indexed table with score; filters do not change scores, boost multiplies them; key names the ids of like:<document>.
 
     Statistics of all terms of the query come from one aggregate over the table.
     """
     c = Compiler(docs.schema, options)
     node = parse(text, c.o) if isinstance(text, str) else text
+    if key:
+        node = with_likes(docs, node, key, c.o)
     c.both(node, None)
     names = list(c.terms)
     counted = docs.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c.terms[k]).alias(f"c{i}") for i, k in enumerate(names)]).first()
@@ -685,11 +751,15 @@ def fail_closed(make) -> Column:
         return F.lit(False)
 
 
-def interesting_terms(docs: DataFrame, field: str, key: str, n: int = 25, min_tf: int = 2, min_df: int = 5) -> DataFrame:
-    """The n terms of each row with the greatest tf * idf."""
-    tfs = docs.select(key, F.explode(f"_t_{field}").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfs = tfs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = docs.count()
+def interesting_terms(docs: DataFrame, field: str, key: str, n: int = 25, min_tf: int = 2, min_df: int = 5, against: DataFrame | None = None) -> DataFrame:
+    """The n terms of each row with the greatest tf * idf; document frequencies are those of `against`, or of the rows themselves."""
+    tfs = written(docs.select(key, F.explode(f"_t_{field}").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    if against is None:
+        dfs = tfs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        wanted = tfs.select("term").distinct()
+        dfs = against.select(F.explode(F.array_distinct(f"_t_{field}")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = (docs if against is None else against).count()
     rows = tfs.where(F.col("tf") >= min_tf).join(dfs.where(F.col("df") >= min_df), "term").withColumn("weight", F.col("tf") * (F.log(F.greatest(F.lit(1), F.floor(F.lit(total) / (F.col("df") + 1)))) + 1))
     order = Window.partitionBy(key).orderBy(F.col("weight").desc(), "term")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
@@ -802,6 +872,6 @@ def elevated(found: DataFrame, key: str, pinned: list, hidden: list | None = Non
 def more_like(docs: DataFrame, key: str, value, field: str = "text", options: Options | None = None) -> DataFrame:
     """Rows like one row, by its most interesting terms."""
     options = options or Options(fields=(field,))
-    terms = interesting_terms(docs.where(F.col(key) == value), field, key, options.like_terms, min_tf=1, min_df=1)
+    terms = interesting_terms(docs.where(F.col(key) == value), field, key, options.like_terms, min_tf=1, min_df=1, against=docs)
     node = Node("bool", parts=[("should", Node("term", text=r["term"], field=field)) for r in terms.orderBy("rank").collect()])
     return search(docs.where(F.col(key) != value), node, replace(options, relevance=False))

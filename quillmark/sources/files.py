@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.operators.documents import ANNOTATION
+
 #: CSV strategies: delimiter and quote.
 CSV = {"default": {"sep": ",", "quote": '"'}, "excel": {"sep": ",", "quote": '"', "escape": '"'}, "tdf": {"sep": "\t", "quote": '"'}}
 
@@ -109,6 +111,20 @@ def corpus(spark: SparkSession, path, metadata: str = "", unpack: bool = True) -
     return rows.withColumn("metadata", (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>"))
 
 
+def read_corpus(spark: SparkSession, path: str, collection: str) -> DataFrame:
+    """Documents from corpus rows (url, contentType, text, content, metadata, annotations): metadata becomes fields, annotations are kept."""
+    rows = spark.read.parquet(path)
+
+    def column(name: str, kind: str) -> Column:
+        return (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name)
+
+    fields = F.coalesce(column("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return rows.select(
+        F.col("url").alias("id"), F.lit(collection).alias("collection"), column("contentType", "string"), column("text", "string"), column("content", "binary"),
+        fields.alias("fields"), F.coalesce(column("annotations", f"array<{ANNOTATION}>"), F.array().cast(f"array<{ANNOTATION}>")).alias("annotations"),
+    )
+
+
 def read_sequence_files(spark: SparkSession, path: str) -> DataFrame:
     """id, text (of text values), content (of byte values) from Hadoop sequence files."""
     def row(kv):
@@ -158,9 +174,12 @@ def _warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         for line in data[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             head[k.strip().lower()] = v.strip()
-        size = int(head.get("content-length") or 0)
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size = head.get("content-length") or "0"
+        if not size.isdigit():  # a bad record ends where the next one begins
+            at = end + 4
+            continue
+        yield head, data[end + 4 : end + 4 + int(size)]
+        at = end + 4 + int(size)
 
 
 def _arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -221,7 +240,10 @@ def as_corpus(records: DataFrame) -> DataFrame:
 def read_jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8, since: tuple[str, str] | None = None, **options: str) -> DataFrame:
     """A query over JDBC, in partitions of a numeric column; since (timestamp column, value) makes a delta import."""
     if since:
-        query = f"SELECT * FROM ({query}) q WHERE {since[0]} > '{since[1]}'"
+        if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", since[0]):
+            raise ValueError(f"not a column name: {since[0]!r}")
+        value = str(since[1]).replace("'", "''")
+        query = f"SELECT * FROM ({query}) q WHERE {since[0]} > '{value}'"
     reader = spark.read.format("jdbc").options(url=url, dbtable=f"({query}) t", **options)
     if column and bounds:
         reader = reader.options(partitionColumn=column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions))

@@ -148,14 +148,14 @@ class Counters(StreamingQueryListener):
 
 
 class EventBuffer:
-    """Holds click event lines while buffering is on; switching it off writes them."""
+    """Holds click event lines while buffering is on; switching it off writes them, and so does holding `limit` of them."""
 
-    def __init__(self, write: Callable[[list[str]], None]):
-        self.write, self.held, self.on = write, [], False
+    def __init__(self, write: Callable[[list[str]], None], limit: int = 100_000):
+        self.write, self.held, self.on, self.limit = write, [], False, limit
 
     def record(self, *lines: str) -> None:
         self.held.extend(lines)
-        if not self.on:
+        if not self.on or len(self.held) >= self.limit:
             self.flush()
 
     def buffering(self, on: bool) -> None:
