@@ -35,7 +35,7 @@ def read_csv(spark: SparkSession, path, mapping: str = "", id_field: str = "id",
 
 
 def read_files(spark: SparkSession, path, recursive: bool = True) -> DataFrame:
-    """Whole files: id (path), content, length, modified; hidden files are left out. Globs are expanded."""
+    """Whole files: id (path), content, length, modified; hidden files are left out, as are files of no bytes, which Spark does not list. Globs are expanded."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.substring_index("path", "/", -1)
     return raw.where(~F.startswith(name, F.lit(".")) & ~F.startswith(name, F.lit("_"))).select(F.col("path").alias("id"), "content", "length", F.col("modificationTime").alias("modified"))
