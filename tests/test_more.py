@@ -130,7 +130,7 @@ def test_small_functions(spark):
     assert [r.when for r in mapped.collect()] == [datetime.datetime(2026, 1, 2), datetime.datetime(2001, 9, 9, 1, 46, 40), None]
     rows = spark.createDataFrame([("a", "c", 1, "t"), ("b", "c", 2, "u")], "id string, collection string, version long, text string")
     assert documents.masked(rows, 0).columns == ["id", "collection", "version"] and documents.with_role(rows.withColumn("roles", F.array("id")), "a").count() == 1
-    assert documents.page_info(41, 20, 10) == {"page": 2, "pages": 5, "first": 20, "last": 30}
+    assert documents.page_info(41, 20, 10) == {"page": 3, "pages": 5, "first": 20, "last": 30}
     shingles = one.select(text.shingles(F.array(F.lit("the"), F.lit("of"), F.lit("fox")), 3)).first()[0]
     assert shingles == ["of fox", "the of fox"]
 
