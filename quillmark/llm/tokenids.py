@@ -39,9 +39,9 @@ from quillmark.session import bounded_batches, written
 END_ID = 0
 FILE_IDS = 1 << 20
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: Characters of text that are coded at a time, about.
-SLICE = 1 << 21
+SLICE = 1 << 23
 MAGIC = b"QEF2"
 #: New words that the tokenizer gets as one text.
 CHAIN = 256
