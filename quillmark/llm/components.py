@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a minimum per vertex (combined before the shuffle) and a join,
-never a list of neighbours, so a vertex with any number of edges is split like
+never a list of neighbours. The minima are written before they are joined, so that the join's sides are
+shuffled anew (or the smaller one is broadcast, by its known size) and a vertex with any number of edges is split like
 other skewed keys. Each step is written to the shared folder.
 """
 
@@ -16,13 +17,13 @@ from quillmark.session import written
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u now hangs on the least of u and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """u (a > b) and all its smaller neighbours now hang on the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
