@@ -39,15 +39,17 @@ from quillmark.session import bounded_batches, written
 END_ID = 0
 FILE_IDS = 1 << 20
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_200_000
 #: Characters of text that are coded at a time, about.
 SLICE = 1 << 23
 MAGIC = b"QEF2"
-#: New words that the tokenizer gets as one text.
-CHAIN = 256
+#: New words that the tokenizer gets as one text, and texts that it gets at a time.
+CHAIN, CHAINS = 256, 64
 SAMPLE = 64
 #: A space where `pieces` does not cut: at the beginning, or after what is no visible ASCII character, letter or digit.
 UNEVEN = r"^ |[^!-~\pL\pN] "
+#: A piece that can be encoded in a chain.
+FIT = r"(?s)^ .*[!-~\pL\pN]$"
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -173,23 +175,24 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encodes pieces. Those that begin with a space and end in a visible character are
-        encoded one after the other as one text, as no token crosses from one to the next, and told
+        encoded one after the other as texts of CHAIN pieces, as no token crosses from one to the next, and told
         apart by the bytes of their tokens; where these don't meet the pieces' ends, and for other pieces, each is a text.
         """
-        fit = [p[:1] == " " and _visible(p[-1]) for p in new]
-        lone, chained = [p for p, f in zip(new, fit, strict=True) if not f], [p for p, f in zip(new, fit, strict=True) if f]
-        blocks = [chained[i : i + CHAIN] for i in range(0, len(chained), CHAIN)]
-        for block, e in zip(blocks, self.tokenizer.encode_batch_fast(["".join(b) for b in blocks], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in block])
+        column = pa.array(new, pa.large_string())
+        fit = pc.match_substring_regex(column, FIT).to_numpy(zero_copy_only=False)
+        chained, lone = column.filter(pa.array(fit)).to_pylist(), column.filter(pa.array(~fit)).to_pylist()
+        sizes = pc.binary_length(column.filter(pa.array(fit))).to_numpy()
+        for g in range(0, len(chained), CHAIN * CHAINS):  # encodings are large while they last
+            part = chained[g : g + CHAIN * CHAINS]
+            found = self.tokenizer.encode_batch_fast(["".join(part[i : i + CHAIN]) for i in range(0, len(part), CHAIN)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum(sizes[g : g + len(part)])
             stops = np.searchsorted(ends, wanted)
-            if stops[-1] != ids.size - 1 or (ends[stops] != wanted).any():
-                lone += block
-                continue
-            raw, at = ids.tobytes(), 0
-            for p, stop in zip(block, (4 * (stops + 1)).tolist(), strict=True):
-                self.known[p] = raw[at:stop]
-                at = stop
+            raw, at = ids.tobytes(), np.concatenate(([0], 4 * (stops + 1)))
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, at[:-1].tolist(), at[1:].tolist())), strict=True))
+            # a token that crosses a piece's end spoils that piece and the next
+            odd = np.flatnonzero(ends[np.minimum(stops, ends.size - 1)] != wanted)
+            lone += [part[i] for i in sorted({*odd.tolist(), *(odd + 1).tolist()}) if i < len(part)]
         for i in range(0, len(lone), 4096):
             part = lone[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -214,11 +217,11 @@ class Encoder:
         # an uneven text is one piece of its own kind, coded after the words
         parts = pc.split_pattern(pc.if_else(pa.array(uneven), "", texts), " ")
         coded, at = parts.values.dictionary_encode(), parts.offsets.to_numpy().astype(np.int64)
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
         # the first word of a text has no space in front of it: these are coded after the others
         firsts, place = np.unique(codes[at[:-1]], return_inverse=True)
-        table = self._ids([" " + w for w in words])
-        table += self._ids([words[k] for k in firsts])
+        table = self._ids(pc.binary_join_element_wise(pa.scalar(" ", words.type), words, pa.scalar("", words.type)).to_pylist())
+        table += self._ids(words.take(pa.array(firsts)).to_pylist())
         place = place + len(words)
         for i in np.flatnonzero(uneven).tolist():
             cut = pieces(texts[i].as_py())
