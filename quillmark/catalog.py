@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import dates, html, scalars, text
 from quillmark.operators import clicks, documents, logmetrics, metrics, resources, textmining
 from quillmark.plans import predicate, search
-from quillmark.session import shared_dir, written
+from quillmark.session import scratch, written
 from quillmark.sources import files, logs, sinks
 from quillmark.streaming import logs as streams
 
@@ -43,7 +43,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def _lines(s: SparkSession, df: DataFrame) -> str:
     """The path of a one-column table written as lines."""
-    path = f"{shared_dir(s)}/quillmark/lines-{uuid.uuid4().hex}"
+    path = f"{scratch(s)}/lines-{uuid.uuid4().hex}"
     df.write.text(path)
     return path
 
@@ -156,7 +156,7 @@ def s4_aol_log_files(s, d):
 
 @_query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS title, c_mktsegment AS field_3, CAST(c_nationkey AS VARCHAR) AS field_2 FROM customer")
 def s5_csv_files(s, d):
-    path = f"{shared_dir(s)}/quillmark/csv-{uuid.uuid4().hex}"
+    path = f"{scratch(s)}/csv-{uuid.uuid4().hex}"
     _table(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit(", \"x\"")).alias("c_name"), "c_nationkey", "c_mktsegment").write.option("header", True).option("escape", '"').csv(path)
     f = F.col("fields")
     return files.read_csv(s, path, "0=id,1=title", strategy="excel").select("id", F.regexp_replace(f["title"], ', "x"$', "").alias("title"), f["field_3"].alias("field_3"), f["field_2"].alias("field_2"))
@@ -164,7 +164,7 @@ def s5_csv_files(s, d):
 
 @_query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand || ',' || p_type ELSE p_type END AS kind, CASE WHEN p_partkey % 3 = 0 THEN 6.0 ELSE 2.0 END::DOUBLE AS title_boost FROM part")
 def s8_s21_solr_xml_files(s, d):
-    n, path = F.col("p_partkey"), f"{shared_dir(s)}/quillmark/xml-{uuid.uuid4().hex}"
+    n, path = F.col("p_partkey"), f"{scratch(s)}/xml-{uuid.uuid4().hex}"
 
     def given(name: str, value, boost=F.lit(None), update=F.lit(None), null=F.lit(None)):
         return F.struct(value.cast("string").alias("_VALUE"), F.lit(name).alias("_name"), boost.cast("double").alias("_boost"), update.cast("string").alias("_update"), null.cast("boolean").alias("_null"))
@@ -288,7 +288,7 @@ def w7_metric_range(s, d):
 
 @_query(f"WITH {_POINTS} SELECT * FROM p")
 def k1_metric_store(s, d):
-    path = f"{shared_dir(s)}/quillmark/metrics-{uuid.uuid4().hex}"
+    path = f"{scratch(s)}/metrics-{uuid.uuid4().hex}"
     metrics.put(_points(s, d), path)
     metrics.put(_points(s, d).withColumn("value", F.col("value") - 1), path)
     return metrics.load(s, path)
@@ -296,7 +296,7 @@ def k1_metric_store(s, d):
 
 @_query("SELECT 'c' AS collection, 'm' AS metric, CAST(1000 AS BIGINT) AS ts, 2.5::DOUBLE AS value")
 def k2_put_metric(s, d):
-    path = f"{shared_dir(s)}/quillmark/metrics-{uuid.uuid4().hex}"
+    path = f"{scratch(s)}/metrics-{uuid.uuid4().hex}"
     metrics.put_metric(s, path, "c", 1000, "m", 2.5)
     return metrics.load(s, path)
 
@@ -308,7 +308,7 @@ def k1b_wide_metrics(s, d):
 
 @_query(f"WITH {_LOGS} SELECT collection, type, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS date, strftime(make_timestamp(timestamp * 1000), '%H') AS hour, count(*) AS n FROM (SELECT collection, 'Q' AS type, timestamp FROM q UNION ALL SELECT collection, 'C', timestamp FROM c) GROUP BY ALL")
 def k6_split_log_folders(s, d):
-    path = f"{shared_dir(s)}/quillmark/split-{uuid.uuid4().hex}"
+    path = f"{scratch(s)}/split-{uuid.uuid4().hex}"
     sinks.split_logs(_q(s, d).select("collection", "type", "timestamp", "id").unionByName(_c(s, d).select("collection", "type", "timestamp", "id")), path)
     stored = s.read.schema("timestamp long, id string, collection string, type string, date string, hour string").parquet(path)
     return stored.groupBy("collection", "type", "date", "hour").agg(F.count(F.lit(1)).alias("n"))
@@ -316,7 +316,7 @@ def k6_split_log_folders(s, d):
 
 @_query("SELECT CASE event_type WHEN 'view' THEN 'request' ELSE 'server' END AS stream, CAST(user_id AS VARCHAR) AS user, count(*) AS n FROM events GROUP BY ALL")
 def k7_f14_request_log_folders(s, d):
-    path = f"{shared_dir(s)}/quillmark/requests-{uuid.uuid4().hex}"
+    path = f"{scratch(s)}/requests-{uuid.uuid4().hex}"
     kind = F.when(F.col("event_type") == "view", "Request").otherwise(F.col("event_type"))
     lines = _table(s, d, "events").select(F.concat(F.lit("["), kind, F.lit("] user="), "user_id", F.lit(" none= x=1")).alias("value"))
     sinks.split_requests(logs.parse_request_log(lines).withColumn("user", F.col("fields")["user"]).drop("fields"), path, "2024-01-01")
@@ -844,7 +844,7 @@ def q19_w11_more_like(s, d):
 
 def _streamed(s: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
     """Runs a stream over the events to its end; the result is read from what its batches wrote."""
-    folder = f"{shared_dir(s)}/quillmark/stream-{uuid.uuid4().hex}"
+    folder = f"{scratch(s)}/stream-{uuid.uuid4().hex}"
     # a file source reads folders, so the table is put into one first
     source = written(_table(s, d, "events"), "events")
     path = source.inputFiles()[0].rsplit("/", 1)[0]

@@ -46,12 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/quillmark/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written as scratch; results that are not read yet are lost, so call it when all are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet into the shared folder and read back.
 
     It cuts the lineage and survives lost executors, since the files are on
     shared storage. The schema is kept as it is, so an empty table works too.
     """
-    path = f"{shared_dir(df.sparkSession)}/quillmark/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
