@@ -61,10 +61,14 @@ _LNC = np.log(_RNG.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
 _KEYS = (_RNG.integers(1, 1 << 63, _ALL, dtype=np.uint64) | U(1))[:, None]
 
 
+def has_words() -> Column:
+    """Whether a text has words; null or false for others. Only the start of a text is looked at."""
+    return F.ltrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""
+
+
 def text_key() -> Column:
     """Digest of a text that has words; null for others."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    return F.when(F.translate(t, " \t\n\x0b\x0c\r", "") != "", F.unhex(F.md5(F.encode(t, "UTF-8"))))
+    return F.when(has_words(), F.unhex(F.md5(F.col("text").cast("binary"))))
 
 
 def _slots(x: np.ndarray) -> list[np.ndarray]:
@@ -208,7 +212,7 @@ def signatures(docs: DataFrame, sketch: Sketch) -> DataFrame:
                 out.append(recent[v])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("v"), pa.array(out, pa.binary())], ["doc_id", "v", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("v")).where("v IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("v")).where(has_words())
     return rows.mapInArrow(task, "doc_id long, v binary, sig binary")
 
 
@@ -246,7 +250,7 @@ def candidates(texts: DataFrame, plain: bool = True) -> tuple[DataFrame, DataFra
 def first_texts(docs: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFrame:
     """v, text of the given keys, from one document each."""
     needed = texts.join(keys.distinct(), "v", "left_semi").select("v", F.substring("v", -16, 16).alias("digest"), F.col("doc_id").alias("first"))
-    keyed = docs.select("doc_id", "text", text_key().alias("own")).where("own IS NOT NULL")
+    keyed = docs.select("doc_id", "text", text_key().alias("own")).where(has_words())
     one = keyed.join(needed, (F.col("own") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "text")
     return written(one.dropDuplicates(["v"]), "texts")
 
