@@ -54,11 +54,11 @@ BLOCK, BLOCK_CHARS, COLUMNS = 512, 1 << 22, 4096
 SKETCH_ROWS, SKETCH_BITS = 2, 18
 _K, _ALL = BANDS * ROWS, (BANDS + PLAIN) * ROWS
 _RNG = np.random.default_rng(20240131)
-#: Gamma(2, 1) numbers for 16 random bits each, and a key for each sample.
+#: Gamma(2, 1) numbers for 16 random bits each; a key and an odd factor for each weighted sample and each two plain ones.
 _R = _RNG.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
-_PER_R = 1 / _R
 _LNC = np.log(_RNG.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
-_KEYS = (_RNG.integers(1, 1 << 63, _ALL, dtype=np.uint64) | U(1))[:, None]
+_HALVES = PLAIN * ROWS // 2
+_KEYS, _FACTORS = ((_RNG.integers(0, (1 << 64) - 1, _K + _HALVES, dtype=np.uint64, endpoint=True) | U(1))[:, None] for _ in range(2))
 
 
 def has_words() -> Column:
@@ -143,41 +143,40 @@ def document_frequencies(docs: DataFrame) -> Sketch:
     return total
 
 
-def _draws(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """64 random bits for each key (rows) and shingle."""
+def _draws(x: np.ndarray, keys: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """64 random bits for each key (rows) and shingle; shingles are mixed already, so one product with a factor of the key's own is enough."""
     z = x[None, :] ^ keys
-    z *= U(0x9E3779B97F4A7C15)
-    z ^= z >> U(29)
-    z *= U(0xBF58476D1CE4E5B9)
+    z *= factors
     return z
 
 
 def signature(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """One 32-bit sample for each key. Weighted: the shingle of least ln a = ln c - r (t - beta + 1), t = floor(ln w / r + beta), with t. Plain: the least draw."""
+    """One 32-bit sample for each key. Weighted: the shingle of least ln a = ln c - r (t - beta), t = ceil(ln w / r + beta), with t. Plain: the least draw."""
     lnw = np.log(weights).astype(np.float32)
     best, chosen, level, k = np.full(_K, np.inf, np.float32), np.zeros(_K, np.int64), np.zeros(_K, np.int64), np.arange(_K)
-    plain = np.full(_ALL - _K, (1 << 64) - 1, U)
+    plain = np.full((_HALVES, 2), (1 << 32) - 1, np.uint32)
     for at in range(0, x.size, 512):
         own = x[at : at + 512]
-        z = _draws(own, _KEYS[:_K])
-        # 16 bits each for r, c and beta
-        place = (z >> U(48)).view(np.int64)
-        r, t = _R.take(place), _PER_R.take(place)
-        beta = z.view("<u2").reshape(_K, own.size, 4)[:, :, 1].astype(np.float32)
-        beta *= np.float32(1 / 65536)
-        t *= lnw[None, at : at + 512]
+        # 16 bits each for r, c and beta, the lowest left out
+        bits = _draws(own, _KEYS[:_K], _FACTORS[:_K]).view("<u2").reshape(_K, own.size, 4)
+        r = _R.take(bits[:, :, 3])
+        beta = bits[:, :, 1] * np.float32(1 / 65536)
+        t = lnw[None, at : at + 512] / r
         t += beta
-        np.floor(t, out=t)
-        z >>= U(32)
-        z &= U(0xFFFF)
-        ln_a = _LNC.take(z.view(np.int64))
-        ln_a -= r * (t - beta + np.float32(1))
+        np.ceil(t, out=t)
+        np.subtract(t, beta, out=beta)
+        beta *= r
+        ln_a = _LNC.take(bits[:, :, 2])
+        ln_a -= beta
         j = ln_a.argmin(axis=1)
         better = ln_a[k, j] < best
         best, chosen, level = (np.where(better, new, old) for new, old in ((ln_a[k, j], best), (j + at, chosen), (t[k, j].astype(np.int64), level)))
-        np.minimum(plain, _draws(own, _KEYS[_K:]).min(axis=1), out=plain)
+        # each draw serves two plain samples, by its halves
+        halves = _draws(own, _KEYS[_K:], _FACTORS[_K:]).view("<u4").reshape(_HALVES, own.size, 2)
+        for i in range(2):
+            np.minimum(plain[:, i], halves[:, :, i].min(axis=1), out=plain[:, i])
     out = mix(x[chosen] + level.astype(U) * U(0xD6E8FEB86659FD93))
-    return (np.concatenate((out, mix(plain))) >> U(32)).astype("<u4")
+    return np.concatenate(((out >> U(32)).astype("<u4"), plain.ravel()))
 
 
 def weighted(text: str, sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
