@@ -97,10 +97,16 @@ rules AS ({" UNION ALL ".join(rules)}),
 k AS (
   SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER ({ratio} > cutoff) AS k
   FROM b JOIN good USING (doc_id) CROSS JOIN rules WHERE NOT base_failed GROUP BY ALL),
+y AS (SELECT *, {1 - p} ** n > {level} AS small FROM k),
+x AS (
+  SELECT *, CASE WHEN small THEN sum(n) OVER (PARTITION BY small, rule, i) ELSE n END AS tried,
+    CASE WHEN small THEN sum(k) OVER (PARTITION BY small, rule, i) ELSE k END AS wrong,
+    NOT small OR k <= {p} * n AS fair
+  FROM y),
 v AS (
-  SELECT stratum, rule, i, cutoff,
-    list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))) <= {level} AS passed
-  FROM k),
+  SELECT stratum, rule, i, cutoff, fair AND
+    list_sum(list_transform(range(0, CAST(wrong AS BIGINT) + 1), lambda j: exp(lgamma(tried + 1) - lgamma(j + 1) - lgamma(tried - j + 1) + j * ln({p}) + (tried - j) * ln(1 - {p})))) <= {level} AS passed
+  FROM x),
 z AS (SELECT *, min(CASE WHEN NOT passed THEN i END) OVER (PARTITION BY stratum, rule) AS stop FROM v),
 cutoffs AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM z WHERE stop IS NULL OR i < stop GROUP BY ALL),
 bad AS (SELECT DISTINCT b.doc_id FROM b JOIN cutoffs USING (stratum) WHERE {ratio} > cutoff)
