@@ -15,8 +15,11 @@ def extract(items: Column, field: str) -> Column:
 
 
 def add_to_map(m: Column, *pairs: Column) -> Column:
-    """m with pairs (key, value, ...) added; later keys win (needs mapKeyDedupPolicy LAST_WIN)."""
-    return F.map_concat(F.coalesce(m, F.create_map()), F.create_map(*pairs))
+    """m with pairs (key, value, ...) added one after another; later keys win, whatever mapKeyDedupPolicy says."""
+    out = F.coalesce(m, F.create_map())
+    for key, value in zip(pairs[::2], pairs[1::2], strict=True):
+        out = F.map_concat(F.map_filter(out, lambda k, _: k != key), F.create_map(key, value))
+    return out
 
 
 def document_region(doc_id: Column, regions: int = REGIONS) -> Column:

@@ -52,3 +52,15 @@ def test_search_and_html(spark):
 
 def test_collapse():
     assert clicks.collapse([("a b", 1.0, 0.0), ("a b c", 2.0, 0.0), ("x y", 1.0, 0.0)]) == [("a b c", 3.0, 0.0), ("x y", 1.0, 0.0)]
+
+
+def test_add_to_map_under_the_default_policy(spark):
+    name = "spark.sql.mapKeyDedupPolicy"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "EXCEPTION")
+    try:
+        df = spark.createDataFrame([({"a": "1", "b": "2"}, "a"), (None, "b"), ({"c": None}, "b")], "m map<string,string>, k string")
+        put = scalars.add_to_map(F.col("m"), F.col("k"), F.lit("x"), F.lit("b"), F.lit("y"))
+        assert [r[0] for r in df.select(put).collect()] == [{"a": "x", "b": "y"}, {"b": "y"}, {"c": None, "b": "y"}]
+    finally:
+        spark.conf.set(name, kept)
