@@ -64,3 +64,10 @@ def test_add_to_map_under_the_default_policy(spark):
         assert [r[0] for r in df.select(put).collect()] == [{"a": "x", "b": "y"}, {"b": "y"}, {"c": None, "b": "y"}]
     finally:
         spark.conf.set(name, kept)
+
+
+def test_slop_at_the_start_of_a_text(spark):
+    texts = ["of a b c the", "of a b the", "the of", "x the a of", "of a b", "x x of a b the", "x x of a b c the", "the x of", "the x x of", "of a b c the of the"]
+    df = search.indexed(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text")
+    ids = lambda q: sorted(r.id for r in search.matches(df, q).collect())
+    assert ids('"of the"~2') == [1, 2, 5, 9] and ids('"of the"~3') == [0, 1, 2, 3, 5, 6, 7, 9] and ids('"of * the"~1') == [1, 5, 9]
