@@ -203,3 +203,28 @@ def test_tail_and_sessions_as_streams(spark, tmp_path):
     found = []
     streams.start(streams.reading_sessions(df), lambda b, n: found.extend((r.request_id, r["query"], list(r.clicks)) for r in b.collect()), str(tmp_path / "c2")).awaitTermination()
     assert found == [("r1", "fox", ["d1", "d2"])]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_row_similarity_multiplies_blocks_of_vectors(spark, monkeypatch, kind):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    cells = {(int(i), int(j)): float(rng.uniform(0.1, 2)) for i in range(70) for j in rng.zipf(1.4, 12) if j < 200}
+    cells[(70, 999)] = 1.0  # shares no term
+    dense = np.zeros((71, 1000))
+    for (i, j), x in cells.items():
+        dense[i, j] = x
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    want = {(a, b): x for (a, b), x in np.ndenumerate(dense @ dense.T) if a != b and x > 0}
+    name = (lambda i: f"{i:02d}") if kind == "string" else (lambda i: i)
+    w = spark.createDataFrame([(name(i), f"t{j}", x) for (i, j), x in cells.items()], f"doc_id {kind}, term string, weight double")
+    for limits in ((2_000_000, 8192, 512, 1 << 19, 1 << 20), (40, 8192, 0, 30, 5), (2_000_000, 7, 6, 100, 40)):
+        for limit, value in zip(("BLOCK_POSTINGS", "BLOCK_ROWS", "DENSE_TERMS", "PAIRS", "PRODUCTS"), limits, strict=True):
+            monkeypatch.setattr(textmining, limit, value, raising=False)
+        for queries, pairs in ((w.where("doc_id % 5 = 0"), {x for x in want if x[0] % 5 == 0}), (None, {x for x in want if x[0] < x[1]}), (w.where("doc_id = 'none'" if kind == "string" else "doc_id = -1"), set())):
+            found = textmining.row_similarity(w, queries=queries)
+            assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # products of single terms are no rows
+            rows = found.collect()
+            assert {(r.a, r.b) for r in rows} == {(name(a), name(b)) for a, b in pairs} and len(rows) == len(pairs)
+            assert all(abs(r.score - want[int(r.a), int(r.b)]) < 1e-12 for r in rows)
