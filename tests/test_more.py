@@ -228,3 +228,40 @@ def test_row_similarity_multiplies_blocks_of_vectors(spark, monkeypatch, kind):
             rows = found.collect()
             assert {(r.a, r.b) for r in rows} == {(name(a), name(b)) for a, b in pairs} and len(rows) == len(pairs)
             assert all(abs(r.score - want[int(r.a), int(r.b)]) < 1e-12 for r in rows)
+
+
+@pytest.mark.parametrize("limits", [(1 << 18, 1 << 16, 2_000_000, 8192), (30, 20, 60, 4)])
+@pytest.mark.parametrize("odd", [True, False])
+def test_text_similarity_is_row_similarity_of_tfidf(spark, monkeypatch, limits, odd):
+    import random
+
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randint(1, 60)))) for i in range(60)]
+    if odd:  # keys that come again, one of them asked for; no key; no words; a term of one document
+        docs += [(10, "w1 w2 w2 again again"), (10, "w5 again"), (11, "w1 w7 Again"), (None, "w1 w3 nameless nameless"), (None, "w3 nameless again"), (90, None), (100, "..."), (101, "alone alone w4"), (110, "single single")]
+    t = textmining.tokenised(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
+    asked = t.where("doc_id % 10 = 0")
+    want = {(r.a, r.b): r.score for r in textmining.row_similarity(textmining.tfidf(textmining.term_frequencies(t), t.count()), queries=asked).collect()}
+    for limit, value in zip(("BLOCK_TERMS", "RUN", "BLOCK_POSTINGS", "BLOCK_ROWS"), limits, strict=True):
+        monkeypatch.setattr(textmining, limit, value)
+    rows = textmining.text_similarity(t, asked).collect()
+    assert {(r.a, r.b) for r in rows} == set(want) and len(rows) == len(want) > 300
+    assert all(abs(r.score - want[r.a, r.b]) < 1e-12 for r in rows)
+    for none in (t.where("false"), t.where("doc_id = 90")):
+        assert textmining.text_similarity(none, asked).count() == textmining.text_similarity(none, none).count() == 0
+    assert textmining.text_similarity(t, t.where("false")).count() == 0
+
+
+def test_row_similarity_query_keeps_to_its_disk(spark):
+    import pathlib
+
+    from quillmark import catalog, session
+
+    def disk():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) + sum(f.stat().st_size for f in pathlib.Path(session.scratch(spark)).rglob("*.parquet"))
+
+    session.shared_dir(spark)
+    before = disk()
+    catalog.QUERIES["m6_row_similarity"](spark, "/root/testdata/sf0.01").write.format("noop").mode("append").save()
+    assert disk() - before < 4 * pathlib.Path("/root/testdata/sf0.01/documents.parquet").stat().st_size
